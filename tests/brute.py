@@ -94,3 +94,57 @@ def links(elem_files, owner_objects):
     for row in owner_objects.itertuples():
         found |= {("header", row.object_id, *x) for x in header_links(load(row.header))}
     return found
+
+
+def json_kind(v) -> str:
+    return {bool: "boolean", str: "string", list: "array", dict: "object"}.get(type(v), "number")
+
+
+def same(a, b) -> bool:
+    return json.dumps(a, sort_keys=True) == json.dumps(b, sort_keys=True)
+
+
+def field_changes(index_files):
+    ids = ("object_type", "object_name", "container_name", "form_name")
+    files: dict = {}
+    for row in index_files.drop_duplicates(["feed_id", "file_no", "rec_no", "payload"]).itertuples():
+        records = files.setdefault(row.feed_id, {}).setdefault(row.file_no, [])
+        doc = load(row.payload)
+        if isinstance(doc, dict):
+            records.append((row.rec_no, doc))
+
+    def kinds(records):
+        counts: dict = {}
+        for _, doc in records:
+            for k, v in doc.items():
+                if k not in ids and v is not None:
+                    counts.setdefault(k, {}).setdefault(json_kind(v), []).append(1)
+        return {k: min(c, key=lambda x: (-len(c[x]), x)) for k, c in counts.items()}
+
+    def values(records, field):
+        return {json.dumps([d.get(i) for i in ids]): d[field] for _, d in sorted(records, key=lambda r: r[0]) if d.get(field) is not None}
+
+    found = set()
+    for feed, by_no in files.items():
+        numbers = sorted(by_no)
+        for before, now in zip(numbers, numbers[1:]):
+            old, new = kinds(by_no[before]), kinds(by_no[now])
+            ends, begins = sorted(set(old) - set(new)), sorted(set(new) - set(old))
+            found |= {(feed, now, f, "", "retyped") for f in set(old) & set(new) if old[f] != new[f]}
+            pairs = []
+            for e in ends:
+                was = values(by_no[before], e)
+                for b in begins:
+                    now_values = values(by_no[now], b)
+                    shared = set(was) & set(now_values)
+                    equal = sum(same(was[k], now_values[k]) for k in shared)
+                    if equal and 2 * equal >= len(shared):
+                        pairs.append((-equal / len(shared), -equal, e, b))
+            used: set = set()
+            for *_, e, b in sorted(pairs):
+                if ("old", e) not in used and ("new", b) not in used:
+                    used |= {("old", e), ("new", b)}
+                    found.add((feed, now, e, b, "renamed"))
+            found |= {(feed, now, e, "", "removed") for e in ends if ("old", e) not in used}
+            found |= {(feed, now, b, "", "added") for b in begins if ("new", b) not in used}
+    return found
