@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from formquarry.plans import problems
+from formquarry.plans import inventory, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, inventory)
 
 
 def queries() -> dict:
