@@ -1,10 +1,11 @@
 """Test items inside documents, found with a positional inverted index.
 
-The index stores one posting (term, document, position) for every word of a document that some test
-item has too. Lookups start from the rarest term of each run of ``least`` words of an item: its
-postings give the alignments (document, item, shift) worth looking at. The lists of the other terms
-of those runs, moved by the shift, are then intersected with the index, and an alignment counts if
-``least`` consecutive words agree.
+The index stores one posting (term, document, position) for every term of a document that some test
+item has too; a term is a run of ``gram`` words, as in a next-word index, since single words of a
+small vocabulary have lists as long as the corpus. Lookups start from the rarest term of each run of
+``least`` words of an item: its postings give the alignments (document, item, shift) worth looking
+at. The lists of the other terms of those runs, moved by the shift, are then intersected with the
+index, and an alignment counts if all terms of ``least`` consecutive words agree.
 
 Defined results: NULL and empty texts have no words; texts and items shorter than ``least`` words match
 nothing; repeated rows change nothing (ids are taken to be unique, so rows of one id are read position
@@ -26,10 +27,12 @@ from formquarry.session import stored
 BROADCAST_WORDS = 2_000_000
 
 
-def positions(df: DataFrame, id_col: str, text_col: str, least: int = 1) -> DataFrame:
-    """(id, pos, term) of each word; texts of fewer than ``least`` words are left out."""
-    split = df.select(F.col(id_col).alias("id"), joined_words(text_col).alias("w")).where("w != ''").select("id", F.split("w", " ").alias("w")).where(F.size("w") >= least)
-    return split.select("id", F.posexplode("w").alias("pos", "word")).select("id", "pos", F.xxhash64("word").alias("term"))
+def positions(df: DataFrame, id_col: str, text_col: str, least: int = 1, gram: int = 1) -> DataFrame:
+    """(id, pos, term) of each run of ``gram`` words; texts of fewer than ``least`` words are left out."""
+    split = df.select(F.col(id_col).alias("id"), joined_words(text_col).alias("w")).where("w != ''").select("id", F.split("w", " ").alias("w")).where(F.size("w") >= max(least, gram))
+    words = F.expr(f"slice(w, 1, size(w) - {gram - 1})")
+    rest = [F.get("w", F.col("pos") + i) for i in range(1, gram)]
+    return split.select("id", "w", F.posexplode(words).alias("pos", "word")).select("id", "pos", F.xxhash64("word", *rest).alias("term"))
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -37,15 +40,15 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def build_index(docs: DataFrame, items: DataFrame, least: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored postings (term, doc_id, pos) of the documents' words that items have too."""
+def build_index(docs: DataFrame, items: DataFrame, least: int, gram: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stored postings (term, doc_id, pos) of the documents' terms that items have too."""
     vocabulary = bounded(items.select("term").distinct(), BROADCAST_WORDS)
-    postings = positions(docs, doc_id, text, least).join(vocabulary, "term", "left_semi")
+    postings = positions(docs, doc_id, text, least, gram).join(vocabulary, "term", "left_semi")
     return stored(postings.select("term", F.col("id").alias("doc_id"), "pos"), "postings")
 
 
 def rarest_seeds(items: DataFrame, index: DataFrame, least: int) -> DataFrame:
-    """(item_id, ipos, term): the rarest term of each run of ``least`` item words all of which the index has."""
+    """(item_id, ipos, term): the rarest term of each run of ``least`` item terms all of which the index has."""
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     run = W.partitionBy("id").orderBy("pos").rowsBetween(0, least - 1)
     counted = items.join(counts, "term", "left").select("id", "pos", "term", "n")
@@ -59,20 +62,22 @@ def alignments(index: DataFrame, seeds: DataFrame) -> DataFrame:
     return hits.select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
 
 
-def phrase_matches(docs: DataFrame, test_items: DataFrame, least: int = 12, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def phrase_matches(docs: DataFrame, test_items: DataFrame, least: int = 12, gram: int = 3, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, shift, first_word, words): the maximal runs of at least ``least`` equal words."""
-    items = stored(positions(test_items, item_id, text, least).distinct(), "items")
-    index = build_index(docs, items, least, doc_id, text)
-    found = alignments(index, rarest_seeds(items, index, least))
-    return intersect(index, items, found, least)
+    gram = min(gram, least)
+    terms = least - gram + 1
+    items = stored(positions(test_items, item_id, text, least, gram).distinct(), "items")
+    index = build_index(docs, items, least, gram, doc_id, text)
+    found = alignments(index, rarest_seeds(items, index, terms))
+    return intersect(index, items, found, terms).withColumn("words", F.col("words") + gram - 1)
 
 
 def intersect(index: DataFrame, items: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """Intersect the offset-adjusted lists of the terms around each seed and keep runs of ``least`` words."""
+    """Intersect the offset-adjusted lists of the terms around each seed and keep runs of ``least`` terms."""
     around = found.select("doc_id", "item_id", "shift", F.explode(F.sequence(F.greatest(F.col("ipos") - least + 1, -F.col("shift"), F.lit(0)), F.col("ipos") + least - 1)).alias("ipos")).distinct()
     terms = bounded(items.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "term"), BROADCAST_WORDS)
     expected = around.join(terms, ["item_id", "ipos"]).select("doc_id", (F.col("ipos") + F.col("shift")).alias("pos"), "term", "item_id", "shift", "ipos")
-    agreed = expected.join(index.distinct(), ["doc_id", "pos", "term"]).select("doc_id", "item_id", "shift", "ipos")
+    agreed = expected.join(index, ["doc_id", "pos", "term"], "left_semi").select("doc_id", "item_id", "shift", "ipos")
     order = W.partitionBy("doc_id", "item_id", "shift").orderBy("ipos")
     runs = agreed.withColumn("run", F.col("ipos") - F.row_number().over(order))
     return runs.groupBy("doc_id", "item_id", "shift", "run").agg(F.min("ipos").alias("first_word"), F.count("*").alias("words")).where(F.col("words") >= least).drop("run")
@@ -83,14 +88,14 @@ def leaked_pairs(docs: DataFrame, test_items: DataFrame, least: int = 12) -> Dat
     return phrase_matches(docs, test_items, least).select("doc_id", "item_id").distinct()
 
 
-def proximity_matches(docs: DataFrame, test_items: DataFrame, terms: int = 12, least: int = 9, slack: int = 8) -> DataFrame:
+def proximity_matches(docs: DataFrame, test_items: DataFrame, terms: int = 6, least: int = 5, slack: int = 8) -> DataFrame:
     """(doc_id, item_id, terms): at least ``least`` of the item's ``terms`` rarest different words stand in the document about as far apart as in the item.
 
     Alignments whose shifts fall into one of two overlapping bands of ``slack`` words count together, so
     words put in, left out or swapped do no harm as long as the shift moves by less than half a band.
     """
     items = stored(positions(test_items, "item_id", "text").distinct(), "items")
-    index = build_index(docs, items, 1)
+    index = build_index(docs, items, 1, 1)
     counts = index.groupBy("term").agg(F.count("*").alias("n"))
     first = items.groupBy("id", "term").agg(F.min("pos").alias("pos"))
     order = W.partitionBy("id").orderBy("n", "pos")
