@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 from formquarry.session import stored
 
+#: Shared anchors are broadcast up to so many (8 bytes each); beyond, the join shuffles.
+BROADCAST_ANCHORS = 1_000_000
 _CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -141,14 +143,24 @@ def segments(docs: DataFrame, length: int, gram: int, doc_id: str = "doc_id", te
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= length).mapInArrow(run, f"doc_id {kind}, start long, n int, anchor long, segment long")
 
 
-def shared_spans(docs: DataFrame, length: int = 100, gram: int = 60, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, span_start, span_chars): the maximal shared runs of each document: ``p8_found``."""
-    seeds = stored(segments(docs, length, gram, doc_id, text), "segments")
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def shared_spans(docs: DataFrame, length: int = 100, gram: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, span_start, span_chars): the maximal shared runs of each document: ``p8_found``.
+
+    Anchors of a single document drop out first, which leaves the segments near shared text; only
+    those take part in the extension.
+    """
+    all_seeds = stored(segments(docs, length, gram, doc_id, text), "segments")
+    met = all_seeds.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high").select("anchor")
+    seeds = stored(all_seeds.join(bounded(stored(met, "anchors"), BROADCAST_ANCHORS), "anchor", "left_semi"), "seeds")
     groups = seeds.groupBy("anchor", "segment").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     groups = stored(groups, "groups")
-    anchors = groups.groupBy("anchor").agg(F.min("low").alias("a_low"), F.max("high").alias("a_high"), F.count("*").alias("kinds")).where("a_low != a_high")
-    open_ones = groups.join(anchors.where("kinds > 1").select("anchor"), "anchor", "left_semi")
-    extended = _extend(docs, seeds, open_ones, length, doc_id, text)
+    several = groups.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
+    extended = _extend(docs, seeds, groups.join(several, "anchor", "left_semi"), length, doc_id, text)
     whole = groups.where("low != high").select("anchor", "segment", F.lit(0).alias("lo"), F.lit(length).alias("hi"))
     hits = seeds.join(whole.unionByName(extended), ["anchor", "segment"])
     last = F.when(F.col("hi") == length, F.col("n") - 1).otherwise(F.col("hi"))
