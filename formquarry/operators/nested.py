@@ -125,8 +125,24 @@ def header_links(header: str) -> str:
     return _fold(start, "struct<uuid:string,parent:string,sec:string,own:string>", step, links)
 
 
+def _table(df: DataFrame, id_col: str, text_col: str, kind: str, links: str) -> DataFrame:
+    """One target table: the rows of one link kind, from one ``inline``."""
+    allow_duplicate_keys(df.sparkSession)
+    return df.selectExpr(f"'{kind}' AS link_kind", f"`{id_col}` AS owner_id", f"inline({let(parsed_in_brackets(f'`{text_col}`'), 'doc', links)})")
+
+
+def tree_table(elem_files: DataFrame, id_col: str = "elem_id", text_col: str = "elem") -> DataFrame:
+    """The nodes of the trees; not yet distinct."""
+    return _table(elem_files, id_col, text_col, "tree", tree_links("doc"))
+
+
+def raw_table(elem_files: DataFrame, id_col: str = "elem_id", text_col: str = "elem") -> DataFrame:
+    """The nodes of the raw lists; not yet distinct."""
+    return _table(elem_files, id_col, text_col, "raw", raw_links("doc"))
+
+
 def element_links(elem_files: DataFrame, id_col: str = "elem_id", text_col: str = "elem") -> DataFrame:
-    """(link_kind, owner_id, child, parent) of the trees and raw lists of element files; not yet distinct."""
+    """Both tables of the element files in one pass that parses each text once; not yet distinct."""
     allow_duplicate_keys(elem_files.sparkSession)
     tables = f"array(named_struct('link_kind', 'tree', 'links', {tree_links('doc')}), named_struct('link_kind', 'raw', 'links', {raw_links('doc')}))"
     return (

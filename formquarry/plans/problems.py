@@ -12,6 +12,18 @@ def p1_found(spark, sf):
     return nested.nested_links(read_table(spark, sf, "elem_files"), read_table(spark, sf, "owner_objects"))
 
 
+def p1_tree(spark, sf):
+    return nested.tree_table(read_table(spark, sf, "elem_files")).distinct()
+
+
+def p1_raw(spark, sf):
+    return nested.raw_table(read_table(spark, sf, "elem_files")).distinct()
+
+
+def p1_header(spark, sf):
+    return nested.entry_links(read_table(spark, sf, "owner_objects")).distinct()
+
+
 def p1_child_counts(spark, sf):
     """Per source and kind: nodes, those with children, and the widest parent."""
     per_parent = p1_found(spark, sf).groupBy("link_kind", "owner_id", "parent").agg(F.count("*").alias("n"))
@@ -62,7 +74,7 @@ def p5_ledger(spark, sf):
     return _ledger(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_child_counts, p2_found, p2_union_schema, p2_entries, p3_found, p3_monthly, p4_found, p4_report_check, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_raw, p1_header, p1_child_counts, p2_found, p2_union_schema, p2_entries, p3_found, p3_monthly, p4_found, p4_report_check, p5_found, p5_ledger)}
 
 _ORPHANS = """
 WITH children AS (
