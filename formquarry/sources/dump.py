@@ -10,6 +10,8 @@ not reported as skipped.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -40,11 +42,34 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _empty_files(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """(path, length, mtime) of files without content, which Spark's file sources list and then leave out.
+
+    Their paths are compared with the listing that the driver holds anyway.
+    """
+    base = root.rstrip("/")
+    schema = "path string, length bigint, mtime double"
+    try:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).inputFiles()
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    below = base.removeprefix("file:").rstrip("/") + "/"
+    paths = [(p[p.index(below) + len(below) :],) for p in map(unquote, names) if below in p]
+    if len(paths) == listed.count():
+        return spark.createDataFrame([], schema)
+    missing = spark.createDataFrame(paths, "path string").join(listed, "path", "left_anti").collect()
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = place(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = [(r.path, 0, system.getFileStatus(place(f"{base}/{r.path}")).getModificationTime() / 1000) for r in missing]
+    return spark.createDataFrame(rows, schema)
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, dir, name, parts, length, mtime) of every file below the root."""
     listed = _read(spark, root, ["length", f"{_MTIME} AS mtime"])
+    every = listed.unionByName(_empty_files(spark, root, listed))
     parts = F.split("path", "/")
-    return listed.select("path", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -1).alias("name"), parts.alias("parts"), "length", "mtime")
+    return every.select("path", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -1).alias("name"), parts.alias("parts"), "length", "mtime")
 
 
 def texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -157,7 +182,8 @@ def scan_forms(spark: SparkSession, root: str, mode: str = "config", include_ele
         none = F.lit(None).cast("string")
         forms = coded.unionByName(only.select(ids.alias("i"), "form_path", "elem_json_path").select("i.*", "form_path", none.alias("bsl_path"), none.alias("json_path"), "elem_json_path", none.alias("form_elem_path"), F.lit(0.0).alias("bsl_mtime"), F.array(F.lit("elem-only: no .obj.bsl found")).alias("warnings")))
     code = _read(spark, root, ["sha2(content, 256) AS bsl_sha256"], "*.obj*").select(F.col("path").alias("bsl_path"), F.col("bsl_sha256"))
-    found = forms.join(code, "bsl_path", "left")
+    empty = F.when(F.col("bsl_path").isNotNull(), F.sha2(F.lit(""), 256))
+    found = forms.join(code, "bsl_path", "left").withColumn("bsl_sha256", F.coalesce("bsl_sha256", empty))
     if structure:
         hashes = parsed_forms(spark, root, files, forms).select("form_path", F.col("parsed.elem_sha256").alias("elem_sha256"))
         found = found.join(hashes, "form_path", "left")
@@ -215,8 +241,9 @@ def parsed_forms(spark: SparkSession, root: str, files: DataFrame, forms: DataFr
     bsl = texts(spark, root, "*.bsl").select(F.col("path").alias("module_path"), F.col("text").alias("module"))
     names = attribute_map(owner_objects(spark, root, files))
     joined = (
-        forms.where("elem_json_path IS NOT NULL").join(elem, "elem_json_path").join(positional, "form_path", "left").join(json, "form_json", "left")
+        forms.where("elem_json_path IS NOT NULL").join(elem, "elem_json_path", "left").join(positional, "form_path", "left").join(json, "form_json", "left")
         .join(module, "form_path", "left").join(bsl, "module_path", "left").join(names, ["object_type", "object_name"], "left")
     )
+    joined = joined.withColumns({"elem": F.coalesce("elem", F.lit("")), "module": F.coalesce("module", F.when(F.col("module_path").isNotNull(), ""))})
     common = F.array_contains(F.split("form_path", "/"), "CommonForm")
     return elements.parse_forms(joined, "elem", F.col("names"), F.col("form_text"), F.col("module"), common).drop("elem", "form_text", "names", "form_json", "module_path")
