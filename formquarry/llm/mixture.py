@@ -17,6 +17,8 @@ seed and the document id only; empty tables give an empty corpus; extra columns
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,32 +35,40 @@ MAX_SOURCES = 10_000
 _BINS = 4096
 
 
-def _tokenizer(path: str):
-    """The tokenizer of a file, loaded once per Python worker."""
-    import tokenizers
+def _counter(path: str, pattern: str):
+    """A function text -> number of tokens for a rank file, loaded once per Python worker."""
+    import base64
 
-    loaded = tokenizers.__dict__.setdefault("_formquarry_loaded", {})
-    if path not in loaded:
-        loaded[path] = tokenizers.Tokenizer.from_file(path)
-        loaded[path].encode_special_tokens = True
-    return loaded[path]
+    import tiktoken
+
+    loaded = tiktoken.__dict__.setdefault("_formquarry_loaded", {})
+    if (path, pattern) not in loaded:
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        loaded[path, pattern] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encode = loaded[path, pattern].encode_ordinary
+    return lambda text: len(encode(text))
+
+
+def split_pattern(path: str) -> str:
+    """How the tokenizers of the folder that a rank file lies in split texts, as that folder's module states it."""
+    spec = importlib.util.spec_from_file_location("tokenizer_files", f"{os.path.dirname(path)}/__init__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    return module.PATTERN
 
 
 def token_count(column: str, path: str) -> Column:
-    """Number of tokens of a text; NULL counts 0."""
+    """Number of tokens of a text by a rank file; NULL counts 0."""
+    pattern = split_pattern(path)
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _tokenizer(path)
-        encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        tokens = _counter(path, pattern)
         for batch in texts:
-            known = [t or "" for t in batch]
-            sizes: list[int] = []
-            for i in range(0, len(known), 256):
-                sizes += [len(e.ids) for e in encode(known[i : i + 256], add_special_tokens=False)]
-            yield pd.Series(sizes, dtype="int64")
+            yield pd.Series([tokens(t) if t else 0 for t in batch], dtype="int64")
 
-    return count(column)
+    return count.asNondeterministic()(column)
 
 
 def source_key(column: str) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from formquarry.llm import leakage, mixture, spans
 from formquarry.session import read_table
 
-#: Of the public tokenizers the one made for many languages' bytes with a ready tokenizer file.
-_TOKENIZER = f"{mixture.TOKENIZERS}/byte_bpe_50k.json"
+#: Of the public tokenizers the byte-level one for many languages.
+_TOKENIZER = f"{mixture.TOKENIZERS}/byte_bpe_multi_50k.tiktoken"
 
 
 def p6_found(spark, sf):
