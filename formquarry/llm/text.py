@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
@@ -21,8 +22,13 @@ def words(text: str) -> list[str]:
     return _WORD.findall(plain)
 
 
-@F.pandas_udf("string")
-def joined_words(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def joined_words(column: str) -> Column:
     """The words of each text joined by single spaces; NULL stays NULL."""
-    for batch in texts:
-        yield pd.Series([None if t is None else " ".join(words(t)) for t in batch], dtype=object)
+
+    @F.pandas_udf("string")
+    def join(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([None if t is None else " ".join(words(t)) for t in batch], dtype=object)
+
+    # Not deterministic in name only: a filter on the result must not make the texts be read twice.
+    return join.asNondeterministic()(column)
