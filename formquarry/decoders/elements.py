@@ -19,6 +19,7 @@ FIELDS = ("name", "type", "parent", "parent_path", "path", "page", "source", "ha
 #: What the structure hash looks at: all of them.
 STRUCTURAL = frozenset(FIELDS)
 EMPTY_MAP = "owner attribute map is empty"
+# Fixed value: how a module declares a procedure.
 _PROCEDURE = re.compile(r"(?im)^\s*Процедура\s+([А-Яа-яA-Za-z0-9_]+)\s*\(")
 
 

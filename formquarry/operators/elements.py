@@ -71,5 +71,6 @@ def attach_handlers(elements: DataFrame, procedures: DataFrame, key: list[str],
 
 def procedures_of(modules: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, procedure) of procedures that a module declares; functions are none."""
+    # Fixed value: how a module declares a procedure.
     pattern = r"(?imu)^\s*Процедура\s+([А-Яа-яA-Za-z0-9_]+)\s*\("
     return modules.select(*key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("procedure")).distinct()

@@ -106,17 +106,51 @@ def union_schema(headers: DataFrame) -> DataFrame:
     return kinds.select("field", promoted.otherwise("string").alias("kind"))
 
 
-def consistent_entries(df: DataFrame, ids: Sequence[str] = FORM_IDS) -> DataFrame:
-    """All records in one table with the columns of the union schema; names that differ only in case get a number."""
-    schema = sorted((r.field, r.kind) for r in union_schema(file_headers(df, ids)).limit(MAX_FIELDS + 1).collect())
+def field_groups(headers: DataFrame, changes: DataFrame) -> dict[str, str]:
+    """name -> the name of its column: names that renames connect share one, unless a file has both of them.
+
+    Names are driver-side metadata, refused beyond MAX_FIELDS. The column is called after the name
+    that most files have. Renames seen most often are followed first.
+    """
+    renames = changes.where("change_kind = 'renamed'").groupBy("field_name", "new_name").agg(F.count("*").alias("n"))
+    pairs = [(r.field_name, r.new_name) for r in sorted(renames.limit(MAX_FIELDS + 1).collect(), key=lambda r: (-r.n, r.field_name, r.new_name))]
+    files = {r.field: r.n for r in headers.groupBy("field").agg(F.count("*").alias("n")).limit(MAX_FIELDS + 1).collect()}
+    if max(len(pairs), len(files)) > MAX_FIELDS:
+        raise ValueError(f"more than {MAX_FIELDS} field names")
+    renamed = sorted({name for pair in pairs for name in pair})
+    sets = headers.where(F.col("field").isin(renamed)).groupBy("feed_id", "file_no").agg(F.array_sort(F.collect_set("field")).alias("names")).select("names").distinct()
+    together = sets.select(F.explode("names").alias("a"), "names").select("a", F.explode("names").alias("b")).where("a < b").distinct()
+    apart = {(r.a, r.b) for r in together.collect()} if renamed else set()
+    groups = {name: {name} for name in files}
+    for old, new in pairs:
+        one, two = groups.get(old, {old}), groups.get(new, {new})
+        if one is not two and not any((min(x, y), max(x, y)) in apart for x in one for y in two):
+            for name in (merged := one | two):
+                groups[name] = merged
+    return {name: min(group, key=lambda x: (-files.get(x, 0), x)) for name, group in groups.items()}
+
+
+def consistent_entries(df: DataFrame, ids: Sequence[str] = FORM_IDS, follow_renames: bool = True) -> DataFrame:
+    """All records in one table with the columns of the union schema.
+
+    A column has the values of all names it had (``field_groups``), cast to the promotion of all
+    their types; names that differ only in case and are no renames of each other get a number.
+    """
+    headers = file_headers(df, ids)
+    column_of = field_groups(headers, field_changes(df, ids)) if follow_renames else {}
+    named = headers.withColumn("field", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in column_of.items() for x in pair]), "field"), "field")) if column_of else headers
+    schema = sorted((r.field, r.kind) for r in union_schema(named).limit(MAX_FIELDS + 1).collect())
     if len(schema) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} field names")
+    names: dict[str, list[str]] = {}
+    for name, column in sorted(column_of.items(), key=lambda x: (x[0] != x[1], x[0])):
+        names.setdefault(column, []).append(name)
     seen = {"feed_id": 1, "file_no": 1, "rec_no": 1}
     columns = []
     for field, kind in [(i, "string") for i in ids] + schema:
-        name = field.lower()
-        seen[name] = seen.get(name, 0) + 1
-        alias = field if seen[name] == 1 else f"{field}__{seen[name]}"
-        value = F.try_element_at("doc", F.lit(field))
-        columns.append(F.try_variant_get(value, "$", kind).alias(alias))
+        low = field.lower()
+        seen[low] = seen.get(low, 0) + 1
+        alias = field if seen[low] == 1 else f"{field}__{seen[low]}"
+        values = [F.try_variant_get(F.try_element_at("doc", F.lit(n)), "$", kind) for n in names.get(field, [field])]
+        columns.append(F.coalesce(*values).alias(alias))
     return _records(df, ids).where("doc IS NOT NULL").select("feed_id", "file_no", "rec_no", *columns)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: The setting that names the folder all executors share.
 SHARED_DIR = "spark.checkpoint.dir"
@@ -55,3 +56,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.parquet(folder)
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it has no more than ``rows`` rows; else the join it is for shuffles."""
+    return broadcast(df) if df.limit(rows + 1).count() <= rows else df

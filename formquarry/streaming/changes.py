@@ -15,9 +15,20 @@ from pyspark.sql.streaming import StreamingQuery
 from formquarry.operators.dedup import keep_last
 
 
-def _existing(spark: SparkSession, path: str) -> bool:
+def _place(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _existing(spark: SparkSession, path: str) -> bool:
+    hadoop, system = _place(spark, path)
+    return system.exists(hadoop)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Remove a state that no batch can need any more: a batch that is run again reads its predecessor's."""
+    hadoop, system = _place(spark, path)
+    system.delete(hadoop, True)
 
 
 def stream_changes(stream: DataFrame, key: Sequence[str], version: Sequence[str], hashes: Sequence[Column], folder: str, checkpoint: str) -> StreamingQuery:
@@ -44,6 +55,7 @@ def stream_changes(stream: DataFrame, key: Sequence[str], version: Sequence[str]
         kind = F.when(takes & F.col("was").isNull(), "added").when(takes & differs, "changed")
         both.select(*key, kind.alias("change_kind"), F.lit(number).alias("batch")).where("change_kind IS NOT NULL").write.mode("overwrite").parquet(f"{folder}/changes/{number}")
         both.select(*key, F.when(takes, F.col("is")).otherwise(F.col("was")).alias("row")).select(*key, "row.*").write.mode("overwrite").parquet(f"{folder}/state/{number}")
+        _drop(spark, f"{folder}/state/{number - 2}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

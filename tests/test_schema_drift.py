@@ -66,6 +66,21 @@ def test_union_schema_and_entries(spark):
     assert rows["O1"]["b__2"] is True and rows["O2"]["B"] == 2.0 and rows["O2"]["s"] is None
 
 
+def test_entries_follow_renames(spark):
+    df = files(
+        spark,
+        ("a", 1, 1, form(1, hash="x", gone=1)), ("a", 2, 1, form(1, Hash="x")), ("a", 3, 1, form(1, digest="x")), ("a", 3, 2, form(2, digest=5)),
+        ("b", 1, 1, form(1, old="q")), ("b", 2, 1, form(1, new="q")), ("b", 3, 1, form(1, old="r", new="s")),
+    )
+    rows = consistent_entries(df)
+    assert set(rows.columns[7:]) == {"Hash", "gone", "old", "new"} or set(rows.columns[7:]) == {"digest", "gone", "old", "new"}
+    column = next(c for c in rows.columns if c in ("Hash", "digest", "hash"))
+    assert sorted(str(r[column]) for r in rows.where("feed_id = 'a'").collect()) == ["5", "x", "x", "x"]
+    assert sorted(map(str, (r["old"] for r in rows.where("feed_id = 'b'").collect()))) == ["None", "q", "r"]
+    assert len(consistent_entries(df, follow_renames=False).columns) == 7 + 6
+    assert consistent_entries(files(spark)).count() == 0
+
+
 def test_whole_table(spark, sf):
     df = spark.read.parquet(f"{sf}/index_files.parquet")
     assert changes(df) == brute.field_changes(pd.read_parquet(f"{sf}/index_files.parquet"))
