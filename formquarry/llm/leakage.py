@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formquarry.llm.text import joined_words
-from formquarry.session import stored
+from formquarry.session import bounded, stored
 
 #: Test items are broadcast up to so many words; beyond, all joins shuffle.
 BROADCAST_WORDS = 2_000_000
@@ -35,11 +35,6 @@ def positions(df: DataFrame, id_col: str, text_col: str, least: int = 1, gram: i
     return split.select("id", "w", F.posexplode(words).alias("pos", "word")).select("id", "pos", F.xxhash64("word", *rest).alias("term"))
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def build_index(docs: DataFrame, items: DataFrame, least: int, gram: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored postings (term, doc_id, pos) of the documents' terms that items have too."""
     vocabulary = bounded(items.select("term").distinct(), BROADCAST_WORDS)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from formquarry.session import stored
+from formquarry.session import bounded, stored
 
 #: Shared anchors are broadcast up to so many (8 bytes each); beyond, the join shuffles.
 BROADCAST_ANCHORS = 1_000_000
@@ -143,11 +143,6 @@ def segments(docs: DataFrame, length: int, gram: int, doc_id: str = "doc_id", te
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= length).mapInArrow(run, f"doc_id {kind}, start long, n int, anchor long, segment long")
 
 
-def bounded(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it has no more than ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def shared_spans(docs: DataFrame, length: int = 100, gram: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, span_start, span_chars): the maximal shared runs of each document: ``p8_found``.
 
