@@ -129,7 +129,106 @@ FROM succeeded s JOIN curs c ON c.run_no = s.run_no LEFT JOIN curs p ON p.run_no
 WHERE p.form_name IS NULL OR CASE WHEN c.trusted AND p.trusted THEN c.h != p.h ELSE abs(c.m - p.m) > 1.0 END
 """
 
+_UUID = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+_DOCS = "SELECT DISTINCT {0} AS owner_id, json(ltrim({1}, chr(65279))) AS doc FROM {2} WHERE json_valid(ltrim({1}, chr(65279)))"
+_NESTED = f"""
+WITH RECURSIVE elems AS ({_DOCS.format("elem_id", "elem", "elem_files")}), owners AS ({_DOCS.format("object_id", "header", "owner_objects")}),
+tops AS (SELECT owner_id, json_extract(doc, '$.tree') AS tree, json_extract(doc, '$.data') AS data FROM elems WHERE json_type(doc) = 'OBJECT'),
+tree_nodes AS (
+  SELECT owner_id, '0' AS child, '' AS parent, tree AS node FROM tops WHERE json_type(tree) = 'OBJECT'
+  UNION ALL SELECT owner_id, e.key, '', e.value FROM tops, json_each(tree) e WHERE json_type(tree) = 'ARRAY' AND e.type = 'OBJECT'
+  UNION ALL SELECT n.owner_id, n.child || '/' || e.key, n.child, e.value
+  FROM tree_nodes n, (VALUES ('$.child'), ('$.items')) k(p), json_each(json_extract(n.node, k.p)) e
+  WHERE json_type(json_extract(n.node, k.p)) = 'ARRAY' AND e.type = 'OBJECT'
+), raws AS (
+  SELECT owner_id, e.key AS parent, json_extract(e.value, '$.raw') AS raw FROM tops, json_each(data) e WHERE json_type(data) = 'OBJECT' AND e.type = 'OBJECT'
+), raw_tops AS (
+  SELECT owner_id, parent, CASE WHEN json_type(raw) = 'VARCHAR' AND json_valid(raw ->> '$') THEN json(raw ->> '$') ELSE raw END AS node FROM raws
+), raw_arrays AS (
+  SELECT owner_id, parent, node, {{key}} AS child FROM raw_tops WHERE json_type(node) = 'ARRAY'
+  UNION ALL SELECT n.owner_id, coalesce(n.child, n.parent), e.value, {{key_below}}
+  FROM raw_arrays n, json_each(n.node) e WHERE e.type = 'ARRAY'
+), header_arrays AS (
+  SELECT owner_id, '' AS path, 0 AS depth, '' AS parent, NULL::VARCHAR AS sec, NULL::VARCHAR AS own, doc AS node, {{entry}} AS uuid, {{record}} AS rec FROM owners WHERE json_type(doc) = 'ARRAY'
+  UNION ALL SELECT n.owner_id, n.path || '/' || e.key, n.depth + 1, coalesce(n.uuid, n.parent),
+    CASE WHEN n.uuid IS NOT NULL THEN NULL WHEN n.rec AND e.key = '2' THEN n.path ELSE n.sec END,
+    CASE WHEN n.uuid IS NOT NULL OR (n.rec AND e.key = '2') THEN NULL WHEN n.rec AND e.key = '0' THEN n.path ELSE n.own END,
+    e.value, {{entry_below}}, {{record_below}}
+  FROM header_arrays n, json_each(n.node) e WHERE e.type = 'ARRAY'
+), heads AS (SELECT owner_id, own, arg_min(uuid, depth) AS uuid FROM header_arrays WHERE uuid IS NOT NULL AND own IS NOT NULL GROUP BY ALL),
+tree AS (SELECT DISTINCT 'tree' AS link_kind, owner_id, child, parent FROM tree_nodes),
+raw AS (SELECT DISTINCT 'raw' AS link_kind, owner_id, child, parent FROM raw_arrays WHERE child IS NOT NULL),
+header AS (SELECT DISTINCT 'header' AS link_kind, n.owner_id, n.uuid AS child, coalesce(h.uuid, n.parent) AS parent FROM header_arrays n LEFT JOIN heads h ON h.owner_id = n.owner_id AND h.own = n.sec WHERE n.uuid IS NOT NULL),
+links AS (SELECT * FROM tree UNION ALL SELECT * FROM raw UNION ALL SELECT * FROM header)
+"""
+
+
+def _array_tests(sql: str) -> str:
+    """Fill in what makes an array a node, an entry or a record, for the array ``doc``/``node`` and for a member ``e.value``."""
+    key = f"CASE WHEN json_type({{0}}, '$[1]') = 'ARRAY' AND json_array_length({{0}}, '$[1]') = 2 AND regexp_full_match({{0}} ->> '$[1][1]', '{_UUID}') THEN coalesce({{0}} ->> '$[1][0]', '') END"
+    entry = (
+        f"CASE WHEN json_type({{0}}, '$[1]') = 'ARRAY' AND json_array_length({{0}}, '$[1]') = 3 AND regexp_full_match({{0}} ->> '$[1][2]', '{_UUID}') AND ({{0}} ->> '$[1][2]') != '00000000-0000-0000-0000-000000000000'"
+        " AND json_type({0}, '$[2]') = 'VARCHAR' AND regexp_full_match({0} ->> '$[2]', '(?s)\".+\"') THEN {0} ->> '$[1][2]' END"
+    )
+    record = "coalesce(json_array_length({0}) = 3 AND json_type({0}, '$[0]') = 'ARRAY' AND json_type({0}, '$[1]') = 'VARCHAR' AND json_type({0}, '$[2]') = 'ARRAY', false)"
+    filled = {"key": (key, "node"), "key_below": (key, "e.value"), "entry": (entry, "doc"), "entry_below": (entry, "e.value"), "record": (record, "doc"), "record_below": (record, "e.value")}
+    for name, (test, array) in filled.items():
+        sql = sql.replace(f"{{{name}}}", test.replace("{0}", array))
+    return sql
+
+
+_NESTED = _array_tests(_NESTED)
+
+_HEADERS = """
+WITH records AS (SELECT DISTINCT feed_id, file_no, rec_no, payload FROM index_files WHERE json_valid(payload) AND json_type(payload) = 'OBJECT' AND feed_id IS NOT NULL AND file_no IS NOT NULL),
+fields AS (
+  SELECT feed_id, file_no, e.key AS field, CASE e.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind
+  FROM records, json_each(records.payload) e WHERE e.type != 'NULL' AND e.key NOT IN ('object_type', 'object_name', 'container_name', 'form_name')
+), headers AS (
+  SELECT feed_id, file_no, field, kind FROM (SELECT feed_id, file_no, field, kind, count(*) AS n FROM fields GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY feed_id, file_no, field ORDER BY n DESC, kind) = 1
+)
+"""
+
+_FIELD_CHANGES = (
+    _HEADERS.replace("WITH records", "WITH RECURSIVE records")
+    + """, files AS (
+  SELECT feed_id, file_no, lag(file_no) OVER w AS prev_no FROM (SELECT DISTINCT feed_id, file_no FROM index_files WHERE feed_id IS NOT NULL AND file_no IS NOT NULL) WINDOW w AS (PARTITION BY feed_id ORDER BY file_no)
+), news AS (SELECT f.feed_id, f.file_no, h.field, h.kind FROM files f JOIN headers h USING (feed_id, file_no) WHERE f.prev_no IS NOT NULL),
+olds AS (SELECT f.feed_id, f.file_no, f.prev_no, h.field, h.kind FROM files f JOIN headers h ON h.feed_id = f.feed_id AND h.file_no = f.prev_no),
+pairs AS (SELECT feed_id, file_no, field, n.kind AS is_kind, o.kind AS was_kind FROM news n FULL JOIN olds o USING (feed_id, file_no, field)),
+ends AS (SELECT p.feed_id, p.file_no, f.prev_no, p.field FROM pairs p JOIN files f USING (feed_id, file_no) WHERE is_kind IS NULL),
+begins AS (SELECT feed_id, file_no, field FROM pairs WHERE was_kind IS NULL),
+vals AS (
+  SELECT r.feed_id, r.file_no, concat_ws(chr(1), coalesce((r.payload -> 'object_type')::VARCHAR, ''), coalesce((r.payload -> 'object_name')::VARCHAR, ''), coalesce((r.payload -> 'container_name')::VARCHAR, ''), coalesce((r.payload -> 'form_name')::VARCHAR, '')) AS form, e.key AS field, json(e.value)::VARCHAR AS v
+  FROM records r, json_each(r.payload) e WHERE e.type != 'NULL'
+  QUALIFY row_number() OVER (PARTITION BY r.feed_id, r.file_no, form, e.key ORDER BY r.rec_no DESC NULLS LAST, v DESC) = 1
+), shared AS (
+  SELECT e.feed_id, e.file_no, e.field AS old, b.field AS new, count(*) AS n, count(*) FILTER (x.v = y.v) AS same
+  FROM ends e JOIN begins b USING (feed_id, file_no) JOIN vals x ON x.feed_id = e.feed_id AND x.file_no = e.prev_no AND x.field = e.field JOIN vals y ON y.feed_id = e.feed_id AND y.file_no = e.file_no AND y.field = b.field AND y.form = x.form
+  GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY feed_id, file_no ORDER BY same / n DESC, same DESC, old, new) AS k FROM shared WHERE same > 0 AND 2 * same >= n),
+walk AS (
+  SELECT DISTINCT feed_id, file_no, 0::BIGINT AS k, []::VARCHAR[] AS a, []::VARCHAR[] AS b FROM ranked
+  UNION ALL SELECT w.feed_id, w.file_no, r.k, CASE WHEN list_contains(a, old) OR list_contains(b, new) THEN a ELSE list_append(a, old) END, CASE WHEN list_contains(a, old) OR list_contains(b, new) THEN b ELSE list_append(b, new) END
+  FROM walk w JOIN ranked r ON r.feed_id = w.feed_id AND r.file_no = w.file_no AND r.k = w.k + 1
+), renames AS (SELECT feed_id, file_no, unnest(a) AS old, unnest(b) AS new FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY feed_id, file_no ORDER BY k DESC) = 1))
+SELECT feed_id, file_no, field AS field_name, '' AS new_name, 'retyped' AS change_kind FROM pairs WHERE is_kind != was_kind
+UNION ALL SELECT feed_id, file_no, old, new, 'renamed' FROM renames
+UNION ALL SELECT feed_id, file_no, field, '', 'removed' FROM ends e WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.feed_id = e.feed_id AND r.file_no = e.file_no AND r.old = e.field)
+UNION ALL SELECT feed_id, file_no, field, '', 'added' FROM begins b WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.feed_id = b.feed_id AND r.file_no = b.file_no AND r.new = b.field)
+"""
+)
+
 ORACLES = {
+    "p2_found": _FIELD_CHANGES,
+    "p1_found": _NESTED + "SELECT * FROM links",
+    "p1_tree": _NESTED + "SELECT * FROM tree",
+    "p1_raw": _NESTED + "SELECT * FROM raw",
+    "p1_header": _NESTED + "SELECT * FROM header",
+    "p1_child_counts": _NESTED + "SELECT link_kind, sum(n)::BIGINT AS links, count(*) AS parents, max(n) AS widest FROM (SELECT link_kind, owner_id, parent, count(*) AS n FROM links GROUP BY ALL) GROUP BY link_kind",
+    "p2_union_schema": _HEADERS
+    + "SELECT field, CASE WHEN count(DISTINCT kind) > 1 THEN 'string' WHEN min(kind) = 'boolean' THEN 'boolean' WHEN min(kind) = 'number' THEN 'double' ELSE 'string' END AS kind FROM headers GROUP BY field",
     "p3_found": _ORPHANS + "SELECT DISTINCT table_name, row_id, orphan_kind FROM found",
     "p3_monthly": _ORPHANS + "SELECT table_name, strftime(tm, '%Y-%m') AS month, orphan_kind, count(*) AS orphans FROM found GROUP BY ALL",
     "p4_found": _CHANGES + "SELECT * FROM changes WHERE change_kind IS NOT NULL",
