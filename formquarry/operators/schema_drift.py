@@ -31,20 +31,27 @@ MAX_FIELDS = 5_000
 PROMOTED = {"boolean": "boolean", "number": "double"}
 
 
-def _records(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Distinct records with their fields: (feed_id, file_no, rec_no, doc map<name, variant>)."""
+def _parsed(df: DataFrame, *more: str) -> DataFrame:
+    """Records as delivered, with their fields: (feed_id, file_no, rec_no, more..., doc map<name, variant>)."""
     allow_duplicate_keys(df.sparkSession)
-    rows = df.select("feed_id", "file_no", "rec_no", "payload").dropna(subset=["feed_id", "file_no"]).distinct()
-    return rows.selectExpr("feed_id", "file_no", "rec_no", f"{parsed('payload', kind='map<string,variant>')} AS doc")
+    rows = df.select("feed_id", "file_no", "rec_no", "payload").dropna(subset=["feed_id", "file_no"])
+    return rows.selectExpr("feed_id", "file_no", "rec_no", *more, f"{parsed('payload', kind='map<string,variant>')} AS doc")
 
 
 def file_headers(df: DataFrame, ids: Sequence[str] = FORM_IDS) -> DataFrame:
-    """(feed_id, file_no, field, kind): the fields present in each file with the type of most of their values."""
+    """(feed_id, file_no, field, kind): the fields present in each file with the type of most of their values.
+
+    Redelivered records are told by two hashes of their text next to their number, so that only
+    field names and types are shuffled, not the records.
+    """
     names = ",".join(f"'{i}'" for i in ids)
-    values = _records(df, ids).selectExpr("feed_id", "file_no", "explode(doc) AS (field, value)").where(f"field NOT IN ({names}) AND NOT is_variant_null(value)")
-    first = "substring(to_json(value), 1, 1)"
+    first = "substring(to_json(e.value), 1, 1)"
     kind = f"CASE {first} WHEN '\"' THEN 'string' WHEN '{{' THEN 'object' WHEN '[' THEN 'array' WHEN 't' THEN 'boolean' WHEN 'f' THEN 'boolean' ELSE 'number' END"
-    counts = values.selectExpr("feed_id", "file_no", "field", f"{kind} AS kind").groupBy("feed_id", "file_no", "field", "kind").agg(F.count("*").alias("n"))
+    present = f"filter(map_entries(doc), e -> e.key NOT IN ({names}) AND NOT is_variant_null(e.value))"
+    fields = f"transform({present}, e -> concat({kind}, ' ', e.key))"
+    records = _parsed(df, "xxhash64(payload) AS h1", "xxhash64(1, payload) AS h2").selectExpr("feed_id", "file_no", "rec_no", "h1", "h2", f"{fields} AS fields")
+    values = records.distinct().select("feed_id", "file_no", F.explode("fields").alias("f")).select("feed_id", "file_no", F.substring_index("f", " ", 1).alias("kind"), F.expr("substring(f, instr(f, ' ') + 1)").alias("field"))
+    counts = values.groupBy("feed_id", "file_no", "field", "kind").agg(F.count("*").alias("n"))
     return counts.groupBy("feed_id", "file_no", "field").agg(F.min(F.struct(-F.col("n"), F.col("kind").alias("kind"))).getField("kind").alias("kind"))
 
 
@@ -86,7 +93,7 @@ def _renames(df: DataFrame, per_file: DataFrame, steps: DataFrame, ids: Sequence
         per_file.join(steps.select("feed_id", F.col("file_no").alias("at"), "prev_no"), ["feed_id", "at"]).select("feed_id", F.col("prev_no").alias("file_no"), "at", F.lit(False).alias("later"), F.col("ends").alias("fields"))
     )
     picked = "filter(transform(fields, f -> named_struct('field', f, 'value', try_element_at(doc, f))), x -> x.value IS NOT NULL AND NOT is_variant_null(x.value))"
-    values = _records(df, ids).join(wanted, ["feed_id", "file_no"]).selectExpr("feed_id", "at", "later", "rec_no", f"concat_ws('\\u0001', {key}) AS form", f"inline({picked})").selectExpr("feed_id", "at", "later", "rec_no", "form", "field", "to_json(value) AS value")
+    values = _parsed(df).join(wanted, ["feed_id", "file_no"]).selectExpr("feed_id", "at", "later", "rec_no", f"concat_ws('\\u0001', {key}) AS form", f"inline({picked})").selectExpr("feed_id", "at", "later", "rec_no", "form", "field", "to_json(value) AS value")
     last = values.groupBy("feed_id", "at", "form", "later", "field").agg(F.max(F.struct("rec_no", "value")).getField("value").alias("value"))
     old = last.where("NOT later").select("feed_id", "at", "form", F.col("field").alias("old"), F.col("value").alias("was"))
     new = last.where("later").select("feed_id", "at", "form", F.col("field").alias("new"), F.col("value").alias("is"))
@@ -153,4 +160,5 @@ def consistent_entries(df: DataFrame, ids: Sequence[str] = FORM_IDS, follow_rena
         alias = field if seen[low] == 1 else f"{field}__{seen[low]}"
         values = [F.try_variant_get(F.try_element_at("doc", F.lit(n)), "$", kind) for n in names.get(field, [field])]
         columns.append(F.coalesce(*values).alias(alias))
-    return _records(df, ids).where("doc IS NOT NULL").select("feed_id", "file_no", "rec_no", *columns)
+    once = df.select("feed_id", "file_no", "rec_no", "payload").distinct()
+    return _parsed(once).where("doc IS NOT NULL").select("feed_id", "file_no", "rec_no", *columns)
