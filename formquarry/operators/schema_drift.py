@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formquarry.functions.json import allow_duplicate_keys, parsed
+from formquarry.session import stored
 
 FORM_IDS = ("object_type", "object_name", "container_name", "form_name")
 #: Field names are driver-side metadata of the union schema; more names than this are refused.
@@ -74,6 +75,7 @@ def field_changes(df: DataFrame, ids: Sequence[str] = FORM_IDS) -> DataFrame:
     ends, begins = F.collect_list(F.when(F.col("new").isNull(), F.col("field"))), F.collect_list(F.when(F.col("old").isNull(), F.col("field")))
     retyped = F.collect_list(F.when(F.col("new").isNotNull() & F.col("old").isNotNull(), F.col("field")))
     per_file = both.groupBy("feed_id", "at").agg(F.array_sort(ends).alias("ends"), F.array_sort(begins).alias("begins"), F.array_sort(retyped).alias("retyped"))
+    per_file = stored(per_file, "field_steps")  # a row per file that changed; read twice
     renamed = _renames(df, per_file.where("size(ends) > 0 AND size(begins) > 0"), steps, ids)
     rows = per_file.join(renamed, ["feed_id", "at"], "left").withColumn("pairs", F.coalesce("pairs", F.expr("cast(array() as array<struct<old:string,new:string>>)")))
     change = "transform({0}, f -> named_struct('field_name', {1}, 'new_name', {2}, 'change_kind', '{3}'))"
