@@ -56,21 +56,26 @@ def attribute_names(attributes: DataFrame, key: list[str]) -> DataFrame:
     return first.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("uuid", "name"))).alias("names"))
 
 
-def reference_types(decoded: DataFrame, order: list[str]) -> DataFrame:
-    """(uuid, type_name) of the identity blocks of types that have references; the first by ``order`` counts."""
+def reference_types(decoded: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys..., uuid, type_name) of the identity blocks of types that have references; per key and UUID the first by ``order`` counts."""
+    keys = keys or []
     prefixes = F.create_map(*[F.lit(x) for pair in D.REFERENCE_TYPE_PREFIXES.items() for x in pair])
     typed = decoded.withColumn("prefix", F.try_element_at(prefixes, F.col("object_type"))).where("prefix IS NOT NULL")
-    rows = typed.select(*order, F.concat_ws(".", "prefix", "object_name").alias("type_name"), F.explode("decoded.identity").alias("uuid"))
-    return keep_first(rows, ["uuid"], order).select("uuid", "type_name")
+    rows = typed.select(*keys, *order, F.concat_ws(".", "prefix", "object_name").alias("type_name"), F.explode("decoded.identity").alias("uuid"))
+    return keep_first(rows, [*keys, "uuid"], order).select(*keys, "uuid", "type_name")
 
 
-def reference_conflicts(decoded: DataFrame, order: list[str]) -> DataFrame:
-    """(uuid, kept, skipped): UUIDs that several types claim."""
+def reference_conflicts(decoded: DataFrame, order: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys..., uuid, kept, skipped): UUIDs that several types claim."""
+    keys = keys or []
     prefixes = F.create_map(*[F.lit(x) for pair in D.REFERENCE_TYPE_PREFIXES.items() for x in pair])
     typed = decoded.withColumn("prefix", F.try_element_at(prefixes, F.col("object_type"))).where("prefix IS NOT NULL")
-    rows = typed.select(F.concat_ws(".", "prefix", "object_name").alias("skipped"), F.explode("decoded.identity").alias("uuid")).distinct()
-    kept = reference_types(decoded, order).withColumnRenamed("type_name", "kept")
-    return rows.join(kept, "uuid").where("skipped != kept").select("uuid", "kept", "skipped")
+    rows = typed.select(*keys, F.concat_ws(".", "prefix", "object_name").alias("skipped"), F.explode("decoded.identity").alias("uuid")).distinct()
+    kept = reference_types(decoded, order, keys).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("uuid").alias("__uuid"), F.col("type_name").alias("kept"))
+    same = F.col("uuid") == F.col("__uuid")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(kept, same).where("skipped != kept").select(*keys, "uuid", "kept", "skipped")
 
 
 def resolve_types(attributes: DataFrame, types: DataFrame, keys: list[str] | None = None, column: str = "type") -> DataFrame:

@@ -265,7 +265,8 @@ def header_errors(spark, sf):
 
 
 def reference_index(spark, sf):
-    return objects.reference_types(_decoded(spark, sf).where("dump_id = 'cfg-main'"), ["object_type", "object_name", "object_id"])
+    """The reference types of every dump."""
+    return objects.reference_types(_decoded(spark, sf), ["object_type", "object_name", "object_id"], ["dump_id"])
 
 
 def query_blocks(spark, sf):

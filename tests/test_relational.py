@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +7,7 @@ from formquarry.functions.json import is_uuid
 from formquarry.functions.keys import composite_key
 from formquarry.functions.text import cut_text, descent, ids_of_path, safe_path_ref, safe_text, unquote_lenient, unquote_strict
 from formquarry.operators import bindings, classify, coverage, dedup, elements, freshness, objects, summary
+from formquarry.plans import inventory
 
 
 def one(spark, column, **values):
@@ -84,6 +87,16 @@ def test_types_resolve(spark):
     assert [r.type for r in objects.resolve_types(attributes, types).orderBy("i").collect()] == ["CatalogRef.X", "Ref#bb", "Ref#cc", "Ref#", "String", None]
 
 
+def test_reference_types_by_dump(spark, tmp_path):
+    header = lambda n: json.dumps([[0, [0, *[f"{n}{i}000000-0000-4000-8000-000000000001" for i in (1, 2, 3)]]]])
+    rows = [(1, "cfg-main", "Catalog", "B", header(1)), (2, "cfg-main", "Catalog", "A", header(1)), (3, "other", "Catalog", "B", header(1)), (4, None, "Document", "D", header(2)), (5, None, "Document", "E", header(2)), (6, "other", "CommonForm", "F", header(3)), (7, "other", "Catalog", "G", "broken")]
+    spark.createDataFrame(rows, "object_id bigint, dump_id string, object_type string, object_name string, header string").write.parquet(f"{tmp_path}/owner_objects.parquet")
+    found = inventory.reference_index(spark, str(tmp_path))
+    assert sorted((str(r.dump_id), r.uuid[:2], r.type_name) for r in found.collect()) == [(d, f"{n}{i}", t) for d, n, t in (("None", 2, "DocumentRef.D"), ("cfg-main", 1, "CatalogRef.A"), ("other", 1, "CatalogRef.B")) for i in (1, 2, 3)]
+    conflicts = objects.reference_conflicts(inventory._decoded(spark, str(tmp_path)), ["object_type", "object_name", "object_id"], ["dump_id"])
+    assert {(str(r.dump_id), r.uuid[:1], r.kept, r.skipped) for r in conflicts.collect()} == {("cfg-main", "1", "CatalogRef.A", "CatalogRef.B"), ("None", "2", "DocumentRef.D", "DocumentRef.E")}
+
+
 def test_freshness(spark):
     rows = spark.createDataFrame([("a", 1, 2.0, 1.0, 1), ("a", 2, 1.0, 5.0, 2), ("b", 3, 2.0, None, 1), ("c", 4, None, None, 1), (None, 5, 9.0, 1.0, 1)], "form_name string, rec_id int, bin_mtime double, unpacked_mtime double, delivered_at int")
     assert [r.form_name for r in freshness.stale_forms(freshness.current_entries(rows)).collect()] == ["b"]
