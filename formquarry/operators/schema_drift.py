@@ -3,8 +3,8 @@
 The header of each file (its field names and their JSON types) is read from its records in
 parallel. Headers of consecutive files are compared by tagging each header row as the new side of
 its own file and the old side of the next one, and a field that ends is paired with one that begins
-where the values of the same records agree. A fold of all headers through a promotion lattice gives
-the union schema, to which every record is cast.
+where the values of the same records agree. A fold of all types that occur, those of a few stray values
+too, through a promotion lattice gives the union schema, to which every record is cast without loss.
 
 Defined results: text that is not JSON, or not a JSON object, has no fields; redelivered records count
 once; rows without feed or file number are left out; a file whose records are all broken exists and
@@ -39,8 +39,8 @@ def _parsed(df: DataFrame, *more: str) -> DataFrame:
     return rows.selectExpr("feed_id", "file_no", "rec_no", *more, f"{parsed('payload', kind='map<string,variant>')} AS doc")
 
 
-def file_headers(df: DataFrame, ids: Sequence[str] = FORM_IDS) -> DataFrame:
-    """(feed_id, file_no, field, kind): the fields present in each file with the type of most of their values.
+def file_kinds(df: DataFrame, ids: Sequence[str] = FORM_IDS) -> DataFrame:
+    """(feed_id, file_no, field, kind, n): the fields present in each file with every type of their values and how many have it.
 
     Redelivered records are told by two hashes of their text next to their number, so that only
     field names and types are shuffled, not the records.
@@ -52,8 +52,17 @@ def file_headers(df: DataFrame, ids: Sequence[str] = FORM_IDS) -> DataFrame:
     fields = f"transform({present}, e -> concat({kind}, ' ', e.key))"
     records = _parsed(df, "xxhash64(payload) AS h1", "xxhash64(1, payload) AS h2").selectExpr("feed_id", "file_no", "rec_no", "h1", "h2", f"{fields} AS fields")
     values = records.distinct().select("feed_id", "file_no", F.explode("fields").alias("f")).select("feed_id", "file_no", F.substring_index("f", " ", 1).alias("kind"), F.expr("substring(f, instr(f, ' ') + 1)").alias("field"))
-    counts = values.groupBy("feed_id", "file_no", "field", "kind").agg(F.count("*").alias("n"))
-    return counts.groupBy("feed_id", "file_no", "field").agg(F.min(F.struct(-F.col("n"), F.col("kind").alias("kind"))).getField("kind").alias("kind"))
+    return values.groupBy("feed_id", "file_no", "field", "kind").agg(F.count("*").alias("n"))
+
+
+def file_headers(df: DataFrame, ids: Sequence[str] = FORM_IDS) -> DataFrame:
+    """(feed_id, file_no, field, kind): the fields present in each file with the type of most of their values."""
+    return majority(file_kinds(df, ids))
+
+
+def majority(kinds: DataFrame) -> DataFrame:
+    """The headers of ``file_kinds``: of each file and field the type that most values have."""
+    return kinds.groupBy("feed_id", "file_no", "field").agg(F.min(F.struct(-F.col("n"), F.col("kind").alias("kind"))).getField("kind").alias("kind"))
 
 
 def file_steps(df: DataFrame) -> DataFrame:
@@ -107,7 +116,10 @@ def _renames(df: DataFrame, per_file: DataFrame, steps: DataFrame, ids: Sequence
 
 
 def union_schema(headers: DataFrame) -> DataFrame:
-    """(field, kind): the promotion of all types a field has in any file; boolean, double or string (the JSON text)."""
+    """(field, kind): the promotion of all types a field has in ``headers``; boolean, double or string (the JSON text).
+
+    Given ``file_headers`` it folds the type each file has by majority, given ``file_kinds`` every type that occurs.
+    """
     kinds = headers.groupBy("field").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     promoted = F.when(F.size("kinds") > 1, "string")
     for kind, target in PROMOTED.items():
@@ -143,11 +155,12 @@ def consistent_entries(df: DataFrame, ids: Sequence[str] = FORM_IDS, follow_rena
     """All records in one table with the columns of the union schema.
 
     A column has the values of all names it had (``field_groups``), cast to the promotion of all
-    their types; names that differ only in case and are no renames of each other get a number.
+    types that occur under them, in however few records, so that every value survives its cast;
+    names that differ only in case and are no renames of each other get a number.
     """
-    headers = file_headers(df, ids)
-    column_of = field_groups(headers, field_changes(df, ids)) if follow_renames else {}
-    named = headers.withColumn("field", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in column_of.items() for x in pair]), "field"), "field")) if column_of else headers
+    kinds = stored(file_kinds(df, ids), "file_kinds")  # a row per file, field and type; read several times
+    column_of = field_groups(majority(kinds), field_changes(df, ids)) if follow_renames else {}
+    named = kinds.withColumn("field", F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in column_of.items() for x in pair]), "field"), "field")) if column_of else kinds
     schema = sorted((r.field, r.kind) for r in union_schema(named).limit(MAX_FIELDS + 1).collect())
     if len(schema) > MAX_FIELDS:
         raise ValueError(f"more than {MAX_FIELDS} field names")

@@ -35,9 +35,15 @@ def p2_found(spark, sf):
 
 
 def p2_union_schema(spark, sf):
+    """The promotion of the types that files have by majority."""
     return schema_drift.union_schema(schema_drift.file_headers(read_table(spark, sf, "index_files")))
 
 
+def p2_full_schema(spark, sf):
+    """The promotion of every type that occurs, as the columns of ``p2_entries`` have it."""
+    return schema_drift.union_schema(schema_drift.file_kinds(read_table(spark, sf, "index_files")))
+
+
 def p2_entries(spark, sf):
     return schema_drift.consistent_entries(read_table(spark, sf, "index_files"))
 
@@ -74,7 +80,7 @@ def p5_ledger(spark, sf):
     return _ledger(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_raw, p1_header, p1_child_counts, p2_found, p2_union_schema, p2_entries, p3_found, p3_monthly, p4_found, p4_report_check, p5_found, p5_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_raw, p1_header, p1_child_counts, p2_found, p2_union_schema, p2_full_schema, p2_entries, p3_found, p3_monthly, p4_found, p4_report_check, p5_found, p5_ledger)}
 
 _ORPHANS = """
 WITH children AS (
@@ -229,6 +235,8 @@ ORACLES = {
     "p1_child_counts": _NESTED + "SELECT link_kind, sum(n)::BIGINT AS links, count(*) AS parents, max(n) AS widest FROM (SELECT link_kind, owner_id, parent, count(*) AS n FROM links GROUP BY ALL) GROUP BY link_kind",
     "p2_union_schema": _HEADERS
     + "SELECT field, CASE WHEN count(DISTINCT kind) > 1 THEN 'string' WHEN min(kind) = 'boolean' THEN 'boolean' WHEN min(kind) = 'number' THEN 'double' ELSE 'string' END AS kind FROM headers GROUP BY field",
+    "p2_full_schema": _HEADERS
+    + "SELECT field, CASE WHEN count(DISTINCT kind) > 1 THEN 'string' WHEN min(kind) = 'boolean' THEN 'boolean' WHEN min(kind) = 'number' THEN 'double' ELSE 'string' END AS kind FROM fields GROUP BY field",
     "p3_found": _ORPHANS + "SELECT DISTINCT table_name, row_id, orphan_kind FROM found",
     "p3_monthly": _ORPHANS + "SELECT table_name, strftime(tm, '%Y-%m') AS month, orphan_kind, count(*) AS orphans FROM found GROUP BY ALL",
     "p4_found": _CHANGES + "SELECT * FROM changes WHERE change_kind IS NOT NULL",

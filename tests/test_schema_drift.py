@@ -3,7 +3,7 @@ import json
 import brute
 import pandas as pd
 
-from formquarry.operators.schema_drift import consistent_entries, field_changes, file_headers, union_schema
+from formquarry.operators.schema_drift import consistent_entries, field_changes, file_headers, file_kinds, union_schema
 
 SCHEMA = "feed_id string, file_no int, rec_no int, payload string, field string, kind string"
 
@@ -66,6 +66,17 @@ def test_union_schema_and_entries(spark):
     assert rows["O1"]["b__2"] is True and rows["O2"]["B"] == 2.0 and rows["O2"]["s"] is None
 
 
+def test_stray_values_survive(spark):
+    stray = ("t", [1], {"a": 1}, True, 7)
+    df = files(spark, *[("a", 1, i, form(i, n=i, b=True, old=i)) for i in range(20)], *[("a", 1, 20 + i, form(20 + i, n=v, b=v)) for i, v in enumerate(stray)], *[("a", 2, i, form(i, n=1, b=False, new=i)) for i in range(9)], ("a", 2, 9, form(9, new="x")))
+    assert {r.field: r.kind for r in union_schema(file_headers(df)).collect()} == {"n": "double", "b": "boolean", "old": "double", "new": "double"}
+    assert {r.field: r.kind for r in union_schema(file_kinds(df)).collect()} == {"n": "string", "b": "string", "old": "double", "new": "string"}
+    rows = {(r.file_no, r.rec_no): r.asDict() for r in consistent_entries(df).collect()}
+    assert [(rows[1, 20 + i]["n"], rows[1, 20 + i]["b"]) for i in range(5)] == [(t, t) for t in ("t", "[1]", '{"a":1}', "true", "7")]
+    assert rows[1, 3]["n"] == "3" and rows[2, 3]["b"] == "false"
+    assert rows[1, 3]["new"] == rows[2, 3]["new"] == "3" and rows[2, 9]["new"] == "x"
+
+
 def test_entries_follow_renames(spark):
     df = files(
         spark,
