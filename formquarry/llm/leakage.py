@@ -29,7 +29,17 @@ BROADCAST_WORDS = 2_000_000
 
 def positions(df: DataFrame, id_col: str, text_col: str, least: int = 1, gram: int = 1) -> DataFrame:
     """(id, pos, term) of each run of ``gram`` words; texts of fewer than ``least`` words are left out."""
-    split = df.select(F.col(id_col).alias("id"), joined_words(text_col).alias("w")).where("w != ''").select("id", F.split("w", " ").alias("w")).where(F.size("w") >= max(least, gram))
+    return grams(word_lists(df, id_col, text_col), least, gram)
+
+
+def word_lists(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, w): the words of each text that has some."""
+    return df.select(F.col(id_col).alias("id"), joined_words(text_col).alias("w")).where("w != ''").select("id", F.split("w", " ").alias("w"))
+
+
+def grams(lists: DataFrame, least: int, gram: int) -> DataFrame:
+    """``positions`` of word lists."""
+    split = lists.where(F.size("w") >= max(least, gram))
     words = F.expr(f"slice(w, 1, size(w) - {gram - 1})")
     rest = [F.get("w", F.col("pos") + i) for i in range(1, gram)]
     return split.select("id", "w", F.posexplode(words).alias("pos", "word")).select("id", "pos", F.xxhash64("word", *rest).alias("term"))
@@ -83,21 +93,27 @@ def leaked_pairs(docs: DataFrame, test_items: DataFrame, least: int = 12) -> Dat
     return phrase_matches(docs, test_items, least).select("doc_id", "item_id").distinct()
 
 
-def proximity_matches(docs: DataFrame, test_items: DataFrame, terms: int = 6, least: int = 5, slack: int = 8) -> DataFrame:
-    """(doc_id, item_id, terms): at least ``least`` of the item's ``terms`` rarest different words stand in the document about as far apart as in the item.
+def proximity_matches(docs: DataFrame, test_items: DataFrame, window: int = 12, edits: int = 3, gram: int = 3) -> DataFrame:
+    """(doc_id, item_id, terms): a passage of ``window`` consecutive item words stands in the document, edited or not.
 
-    Alignments whose shifts fall into one of two overlapping bands of ``slack`` words count together, so
-    words put in, left out or swapped do no harm as long as the shift moves by less than half a band.
+    A document matches where it has ``gram`` consecutive words of the item and, of a window of the item
+    around them, all words but ``edits`` at most about as far from them as in the item, that is moved by
+    no more than ``edits`` words. Each such run is looked up at all its places, so no passage with up to
+    ``edits`` words put in, left out or replaced is lost: they cut the window into ``edits`` + 1 pieces, one
+    of which has ``gram`` words. ``terms`` is the most words that a window has. Of an item shorter than
+    ``window`` so many edits are allowed as leave such a piece.
     """
-    items = stored(positions(test_items, "item_id", "text").distinct(), "items")
-    index = build_index(docs, items, 1, 1)
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    first = items.groupBy("id", "term").agg(F.min("pos").alias("pos"))
-    order = W.partitionBy("id").orderBy("n", "pos")
-    seeds = first.join(counts, "term").withColumn("k", F.row_number().over(order)).where(F.col("k") <= terms)
-    hits = index.join(bounded(seeds.select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "term"), BROADCAST_WORDS), "term")
-    shift = F.col("pos") - F.col("ipos")
-    bands = F.array(F.floor(shift / slack) * 2, F.floor((shift + slack // 2) / slack) * 2 + 1)
-    near = hits.select("doc_id", "item_id", "term", F.explode(bands).alias("band")).distinct()
-    found = near.groupBy("doc_id", "item_id", "band").agg(F.count("*").alias("terms")).where(F.col("terms") >= least)
-    return found.groupBy("doc_id", "item_id").agg(F.max("terms").alias("terms"))
+    if window < gram * (edits + 1):
+        raise ValueError("so many edits leave no run of words in the window")
+    texts = stored(word_lists(docs, "doc_id", "text"), "texts")  # normalised once, read twice
+    lists = stored(word_lists(test_items, "item_id", "text"), "items").where(F.size("w") >= gram)
+    places = bounded(grams(lists, gram, gram).select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "term"), BROADCAST_WORDS)
+    hits = grams(texts, gram, gram).join(places, "term").select(F.col("id").alias("doc_id"), "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"))
+    items = bounded(lists.select(F.col("id").alias("item_id"), F.col("w").alias("iw")), BROADCAST_WORDS // 1_000)
+    both = hits.join(texts.select(F.col("id").alias("doc_id"), F.col("w").alias("dw")), "doc_id").join(items, "item_id")
+    sized = both.withColumn("size", F.least(F.size("iw"), F.lit(window))).withColumn("need", F.expr(f"size - least({edits}, int((size - {gram}) div {gram}))"))
+    near = f"slice(dw, greatest(j + shift - {edits}, 0) + 1, greatest(j + shift + {edits} + 1 - greatest(j + shift - {edits}, 0), 0))"
+    kept = f"filter(sequence(greatest(ipos - size + {gram}, 0), least(ipos + size, size(iw)) - 1), j -> array_contains({near}, iw[j]))"
+    most = "array_max(transform(filter(kept, j -> j <= ipos), j -> size(filter(kept, k -> k >= j AND k < j + size))))"
+    around = sized.selectExpr("doc_id", "item_id", "ipos", "size", "need", f"{kept} AS kept").where("size(kept) >= need")
+    return around.selectExpr("doc_id", "item_id", "need", f"cast({most} AS bigint) AS terms").where("terms >= need").groupBy("doc_id", "item_id").agg(F.max("terms").alias("terms"))

@@ -67,6 +67,46 @@ def test_proximity_allows_edits(spark):
     assert found == {(1, 7)}
 
 
+def test_proximity_finds_every_edited_passage(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = {i: rng.choices(vocabulary, k=60) for i in range(12)} | {90: rng.choices(vocabulary, k=9), 91: ["a"] * 20}
+    passages, wanted = {1000: ["a"] * 6}, set()
+    for d in range(120):
+        i = rng.randrange(12)
+        at = rng.randrange(49)
+        part = texts[i][at : at + 12]
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(part) + 1)
+            part[k : k + rng.randint(0, 1)] = rng.choices(["x", "y"], k=rng.randint(0, 1))
+        fill = lambda: [f"f{rng.randrange(9999)}" for _ in range(rng.randint(0, 40))]
+        passages[d] = fill() + part + fill()
+        wanted.add((d, i))
+    passages[2002], passages[2003] = [w if k % 4 else "x" for k, w in enumerate(texts[1])], [w if k % 3 else "x" for k, w in enumerate(texts[1])]
+    passages[2000] = [*texts[90][:4], "x", *texts[90][5:]]  # a short item with one word replaced
+    # Rare words that one unrelated document has are no reason to pass a passage by.
+    passages[2001] = rng.sample(texts[0], 60)
+    found = {tuple(r)[:2] for r in leakage.proximity_matches(docs(spark, {d: " ".join(p) for d, p in passages.items()}), items_of(spark, {i: " ".join(t) for i, t in texts.items()})).collect()}
+    assert wanted | {(2000, 90), (2002, 1)} <= found and found == near_pairs(passages, texts)
+    assert not {(2001, 0), (2003, 1)} & found
+
+
+def near_pairs(passages, texts, window=12, edits=3, gram=3):
+    """The definition of proximity_matches by trial of every window and place; words as lists."""
+    found = set()
+    for d, words in passages.items():
+        for i, text in texts.items():
+            size = min(window, len(text))
+            need = size - min(edits, (size - gram) // gram)
+            for k in range(len(text) - gram + 1):
+                for at in (p for p in range(len(words) - gram + 1) if words[p : p + gram] == text[k : k + gram]):
+                    stands = lambda j: text[j] in words[max(j + at - k - edits, 0) : max(j + at - k + edits + 1, 0)]  # noqa: B023, E731
+                    for start in range(max(k + gram - size, 0), min(k, len(text) - size) + 1):
+                        if sum(map(stands, range(start, start + size))) >= need:
+                            found.add((d, i))
+    return found
+
+
 def shared(spark, items, **more):
     return {tuple(r) for r in spanning.shared_spans(docs(spark, items), **more).collect()}
 
