@@ -42,10 +42,11 @@ def drift(baseline: DataFrame, current: DataFrame, by: list[str] | None = None)
     return both.select(*by, "form_key", F.explode(kinds).alias("kind"))
 
 
-def stale(baseline: DataFrame, files: DataFrame) -> DataFrame:
-    """(form_key, kind='stale_extractions'): forms whose recorded code file is not among ``files`` (column path)."""
-    known = baseline.where(F.coalesce("bsl_path", F.lit("")) != "").select(composite_key("object_type", "object_name", "container_name", "form_name").alias("form_key"), F.col("bsl_path").alias("path"))
-    return known.join(files.select("path").distinct(), "path", "left_anti").select("form_key", F.lit("stale_extractions").alias("kind")).distinct()
+def stale(baseline: DataFrame, files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., form_key, kind='stale_extractions'): forms whose recorded code file is not among ``files`` (by..., path)."""
+    by = by or []
+    known = baseline.where(F.coalesce("bsl_path", F.lit("")) != "").select(*by, composite_key("object_type", "object_name", "container_name", "form_name").alias("form_key"), F.col("bsl_path").alias("path"))
+    return known.join(files.select(*by, "path").distinct(), [*by, "path"], "left_anti").select(*by, "form_key", F.lit("stale_extractions").alias("kind")).distinct()
 
 
 def drift_report(changes: DataFrame, by: list[str] | None = None) -> DataFrame:

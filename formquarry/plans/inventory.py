@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formquarry.functions import domain as D
@@ -23,6 +24,38 @@ def _edge_snapshots(spark, sf):
     return latest(both.where("snapshot_no = lo")), latest(both.where("snapshot_no = hi"))
 
 
+def _snapshot_steps(spark, sf):
+    """Two tables with the forms of all snapshots, as the old side of the next existing one and as the new side of their own; step_no is the later number."""
+    scans = read_table(spark, sf, "form_scans").where("dump_id IS NOT NULL AND snapshot_no IS NOT NULL")
+    order = W.partitionBy("dump_id").orderBy("snapshot_no")
+    steps = scans.select("dump_id", "snapshot_no").distinct().select("dump_id", "snapshot_no", F.lead("snapshot_no").over(order).alias("next_no"), F.lag("snapshot_no").over(order).alias("prev_no"))
+    forms = dedup.keep_last(scans, ["dump_id", "snapshot_no", *_IDS], ["loaded_at", "bsl_sha256", "elem_sha256", "bsl_path", "bsl_mtime"]).join(steps, ["dump_id", "snapshot_no"])
+    return forms.where("next_no IS NOT NULL").withColumn("step_no", F.col("next_no")), forms.where("prev_no IS NOT NULL").withColumn("step_no", F.col("snapshot_no"))
+
+
+def drift_steps(spark, sf):
+    """Drift from each snapshot of a dump to the next existing one."""
+    return drift.drift(*_snapshot_steps(spark, sf), ["dump_id", "step_no"])
+
+
+def drift_step_lists(spark, sf):
+    """The report of every step that has drift."""
+    return drift.drift_report(drift_steps(spark, sf), ["dump_id", "step_no"]).drop("checked_at").select("dump_id", "step_no", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
+
+
+def stale_steps(spark, sf):
+    """Forms of each snapshot whose code file the next one of the dump no longer has."""
+    old, new = _snapshot_steps(spark, sf)
+    return drift.stale(old, new.select("dump_id", "step_no", F.col("bsl_path").alias("path")).where("path IS NOT NULL"), ["dump_id", "step_no"])
+
+
+def upsert_all(spark, sf):
+    """All snapshots of each dump put over each other in their order: the latest row of every form that ever was in one."""
+    scans = read_table(spark, sf, "form_scans").where("dump_id IS NOT NULL AND snapshot_no IS NOT NULL")
+    rows = dedup.keep_last(scans, ["dump_id", *_IDS], ["snapshot_no", "loaded_at", "bsl_sha256", "elem_sha256", "bsl_path", "bsl_mtime"])
+    return rows.select("dump_id", composite_key(*_IDS).alias("form_key"), "snapshot_no")
+
+
 def form_key(spark, sf):
     return read_table(spark, sf, "form_scans").select("dump_id", composite_key(*_IDS).alias("form_key")).distinct()
 
@@ -288,7 +321,7 @@ def column_definitions(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        form_key, drift_diff, drift_lists, stale_paths, content_hash, stale_entries, current_freshness, route_exact, route_object, route_type, upsert_reindex, ref_lookup, resolve_bindings,
+        form_key, drift_diff, drift_lists, stale_paths, drift_steps, drift_step_lists, stale_steps, upsert_all, content_hash, stale_entries, current_freshness, route_exact, route_object, route_type, upsert_reindex, ref_lookup, resolve_bindings,
         unique_probe, binding_coverage, form_classes, name_classes, widget_classes, reason_of_form, reason_counts, path_refs, path_ids, relative_paths, first_wins, last_wins, priority_merge,
         uuid_check, quoted_literals, json_aliases, version_suffixes, text_fragments, elem_only, element_parse, structure_hashes, element_warnings, zero_bindings, unindexed_reason,
         missing_parents, element_coverage, summary_buckets, form_contexts, header_decode, header_errors, reference_index, query_blocks, query_datasets, column_definitions,
@@ -317,6 +350,15 @@ pairs AS (
   UNION ALL SELECT dump_id, form_key, 'structure_modified' FROM pairs WHERE eb != ec
 )"""
 )
+_STEPS = f"""
+WITH scans AS (SELECT *, {_KEY} AS form_key FROM form_scans WHERE dump_id IS NOT NULL AND snapshot_no IS NOT NULL),
+numbers AS (SELECT dump_id, snapshot_no, lead(snapshot_no) OVER w AS next_no, lag(snapshot_no) OVER w AS prev_no FROM (SELECT DISTINCT dump_id, snapshot_no FROM scans) WINDOW w AS (PARTITION BY dump_id ORDER BY snapshot_no)),
+picked AS (
+  SELECT * FROM scans QUALIFY row_number() OVER (PARTITION BY dump_id, snapshot_no, object_type, object_name, container_name, form_name
+    ORDER BY loaded_at DESC NULLS LAST, bsl_sha256 DESC NULLS LAST, elem_sha256 DESC NULLS LAST, bsl_path DESC NULLS LAST, bsl_mtime DESC NULLS LAST) = 1
+), olds AS (SELECT p.*, next_no AS step_no FROM picked p JOIN numbers USING (dump_id, snapshot_no) WHERE next_no IS NOT NULL),
+news AS (SELECT p.*, snapshot_no AS step_no FROM picked p JOIN numbers USING (dump_id, snapshot_no) WHERE prev_no IS NOT NULL)"""
+_STEP_DRIFT = (_STEPS + _DRIFT.removeprefix(_EDGES)).replace("FROM firsts", "FROM olds").replace("FROM lasts", "FROM news").replace("PARTITION BY dump_id, form_key", "PARTITION BY dump_id, step_no, form_key").replace("SELECT dump_id, form_key,", "SELECT dump_id, step_no, form_key,").replace("USING (dump_id, form_key)", "USING (dump_id, step_no, form_key)")
 _in = lambda values: "(" + ", ".join(f"'{v}'" for v in values) + ")"
 _starts = lambda c, prefixes: "(" + " OR ".join(f"starts_with(lower({c}), '{p}')" for p in prefixes) + ")"
 _SERVICE, _HINT = _starts("form_name", D.SERVICE_NAME_PREFIXES), _starts("form_name", D.SERVICE_NAME_HINTS)
@@ -337,6 +379,13 @@ ORACLES = {
     + ", ".join(f"coalesce(string_agg(form_key, '|' ORDER BY form_key) FILTER (kind = '{k}'), '') AS {k}" for k in drift.KINDS)
     + " FROM kinds GROUP BY dump_id",
     "stale_paths": _EDGES + " SELECT DISTINCT form_key, 'stale_extractions' AS kind FROM firsts f WHERE coalesce(bsl_path, '') != '' AND NOT EXISTS (SELECT 1 FROM lasts l WHERE l.bsl_path = f.bsl_path)",
+    "drift_steps": _STEP_DRIFT + " SELECT * FROM kinds",
+    "drift_step_lists": _STEP_DRIFT
+    + " SELECT dump_id, step_no, true AS has_drift, "
+    + ", ".join(f"coalesce(string_agg(form_key, '|' ORDER BY form_key) FILTER (kind = '{k}'), '') AS {k}" for k in drift.KINDS)
+    + " FROM kinds GROUP BY dump_id, step_no",
+    "stale_steps": _STEPS + " SELECT DISTINCT dump_id, step_no, form_key, 'stale_extractions' AS kind FROM olds f WHERE coalesce(bsl_path, '') != '' AND NOT EXISTS (SELECT 1 FROM news l WHERE l.dump_id = f.dump_id AND l.step_no = f.step_no AND l.bsl_path = f.bsl_path)",
+    "upsert_all": _STEPS + " SELECT dump_id, form_key, max(snapshot_no) AS snapshot_no FROM picked GROUP BY dump_id, form_key, object_type, object_name, container_name, form_name",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "stale_entries": f"SELECT form_name FROM ({_LATEST}) WHERE bin_mtime IS NOT NULL AND (unpacked_mtime IS NULL OR bin_mtime > unpacked_mtime)",
     "current_freshness": f"SELECT form_name, rec_id, bin_path, extraction_ok, array_to_string(warnings, '|') AS warnings FROM ({_LATEST})",

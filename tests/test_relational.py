@@ -97,6 +97,19 @@ def test_reference_types_by_dump(spark, tmp_path):
     assert {(str(r.dump_id), r.uuid[:1], r.kept, r.skipped) for r in conflicts.collect()} == {("cfg-main", "1", "CatalogRef.A", "CatalogRef.B"), ("None", "2", "DocumentRef.D", "DocumentRef.E")}
 
 
+def test_drift_of_every_step(spark, tmp_path):
+    forms = {1: {"A": "x"}, 2: {"A": "y", "M": "m"}, 4: {"A": "x"}}  # M lives in the middle only, A is changed and reverted
+    rows = [(d, n, "T", "O", "", f, f"/{f}{n if f == 'A' else ''}", h, None, None, 0) for d in ("d", "e") for n, s in forms.items() for f, h in s.items()]
+    columns = "dump_id string, snapshot_no int, object_type string, object_name string, container_name string, form_name string, bsl_path string, bsl_sha256 string, elem_sha256 string, bsl_mtime double, loaded_at int"
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/form_scans.parquet")
+    q = inventory.QUERIES
+    steps = {(2, "T/O//A", "modified"), (2, "T/O//M", "added"), (4, "T/O//A", "modified"), (4, "T/O//M", "removed")}
+    assert {tuple(r) for r in q["drift_steps"](spark, str(tmp_path)).collect()} == {(d, *s) for d in "de" for s in steps}
+    assert {tuple(r)[:5] for r in q["drift_step_lists"](spark, str(tmp_path)).collect()} == {(d, n, True, *lists) for d in "de" for n, lists in ((2, ("T/O//M", "")), (4, ("", "T/O//M")))}
+    assert {tuple(r)[1:3] for r in q["stale_steps"](spark, str(tmp_path)).collect()} == {(2, "T/O//A"), (4, "T/O//A"), (4, "T/O//M")}
+    assert {tuple(r) for r in q["upsert_all"](spark, str(tmp_path)).collect()} == {(d, f"T/O//{f}", n) for d in "de" for f, n in (("A", 4), ("M", 2))}
+
+
 def test_freshness(spark):
     rows = spark.createDataFrame([("a", 1, 2.0, 1.0, 1), ("a", 2, 1.0, 5.0, 2), ("b", 3, 2.0, None, 1), ("c", 4, None, None, 1), (None, 5, 9.0, 1.0, 1)], "form_name string, rec_id int, bin_mtime double, unpacked_mtime double, delivered_at int")
     assert [r.form_name for r in freshness.stale_forms(freshness.current_entries(rows)).collect()] == ["b"]
