@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 #: Regular expression of a UUID, any case.
 UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 NULL_UUID = "00000000-0000-0000-0000-000000000000"
-#: Jackson refuses deeper nesting, so no parsed value has more levels.
+#: Jackson refuses deeper nesting, so no parsed value has more levels. The brackets of
+#: ``parsed_in_brackets`` are one of them: a text of more than 999 levels is a defined NULL, like a broken one.
 MAX_NESTING = 1000
 
 
