@@ -3,11 +3,15 @@
 Each row of a snapshot is tagged twice: as the new side of its own snapshot and as the old side of
 the next one. One aggregation by (partition, later snapshot, key) then has both sides' row hashes
 and classifies; picking the row that counts among repeated ones happens in the same aggregation.
+That is the only shuffle of the table: the list of existing snapshots, a few rows per partition,
+is broadcast behind a count of its rows (beyond BROADCAST_STEPS the join with it shuffles), and
+what is shuffled of a value is its head and a 64-bit digest.
 
 Defined results: rows without partition or snapshot number are in no snapshot and are left out; NULL
 parts of a key are empty; among repeated rows of a key the latest version counts, at equal
-versions the greatest hashes, NULL lowest; the first snapshot reports nothing; a snapshot number
-may be missing, the next existing one follows; extra columns are never read.
+versions the greatest hashes (by their first HEAD characters, then by digest), NULL lowest; the
+first snapshot reports nothing; a snapshot number may be missing, the next existing one follows;
+extra columns are never read. A difference is missed only where the digests of two values collide.
 """
 
 from __future__ import annotations
@@ -19,19 +23,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formquarry.functions.keys import composite_key
+from formquarry.session import bounded, stored
+
+#: The snapshots of all partitions are broadcast up to so many (some 50 bytes each).
+BROADCAST_STEPS = 500_000
+#: So many characters order the values of repeated rows.
+HEAD = 8
+
+
+def snapshot_steps(df: DataFrame, partition: str, snapshot: str) -> DataFrame:
+    """(part, snap, next, first): the existing snapshots, each with the one that follows it, stored."""
+    order = W.partitionBy("part").orderBy("snap")
+    existing = df.select(F.col(partition).alias("part"), F.col(snapshot).alias("snap")).dropna().distinct()
+    return stored(existing.select("part", "snap", F.lead("snap").over(order).alias("next"), F.lag("snap").over(order).isNull().alias("first")), "steps")
 
 
 def snapshot_changes(df: DataFrame, partition: str, snapshot: str, key: Column, version: Column, hashes: Sequence[Column]) -> DataFrame:
     """(partition, snapshot, row_key, change_kind in added/removed/changed) against the preceding existing snapshot."""
-    rows = df.select(F.col(partition).alias("part"), F.col(snapshot).alias("snap"), key.alias("row_key"), F.struct(version.alias("version"), *[h.alias(f"h{i}") for i, h in enumerate(hashes)]).alias("row"))
+    # Of each value its head, which orders it, and its digest, which tells it from others; NULL stays NULL and never differs.
+    parts = [c for i, h in enumerate(hashes) for c in (F.substring(h, 1, HEAD).alias(f"t{i}"), F.when(h.isNotNull(), F.xxhash64(h)).alias(f"h{i}"))]
+    rows = df.select(F.col(partition).alias("part"), F.col(snapshot).alias("snap"), key.alias("row_key"), F.struct(version.alias("version"), *parts).alias("row"))
     rows = rows.dropna(subset=["part", "snap"])
-    existing = rows.select("part", "snap").distinct()
-    order = W.partitionBy("part").orderBy("snap")
-    steps = existing.select("part", "snap", F.lead("snap").over(order).alias("next"), F.lag("snap").over(order).isNull().alias("first"))
+    none = F.lit(None).cast(rows.schema["row"].dataType)
     sides = F.array(
-        F.struct(F.when(~F.col("first"), F.col("snap")).alias("at"), F.col("row").alias("new"), F.lit(None).cast(rows.schema["row"].dataType).alias("old")),
-        F.struct(F.col("next").alias("at"), F.lit(None).cast(rows.schema["row"].dataType).alias("new"), F.col("row").alias("old")),
+        F.struct(F.when(~F.col("first"), F.col("snap")).alias("at"), F.col("row").alias("new"), none.alias("old")),
+        F.struct(F.col("next").alias("at"), none.alias("new"), F.col("row").alias("old")),
     )
+    steps = bounded(snapshot_steps(df, partition, snapshot), BROADCAST_STEPS)
     tagged = rows.join(steps, ["part", "snap"]).select("part", "row_key", F.inline(F.filter(sides, lambda s: s["at"].isNotNull())))
     both = tagged.groupBy("part", "at", "row_key").agg(F.max("new").alias("new"), F.max("old").alias("old"))
     differs = F.lit(False)
