@@ -1,5 +1,9 @@
+import random
 from datetime import datetime, timedelta
 
+import pytest
+
+from formquarry.operators import orphans as module
 from formquarry.operators.orphans import attribute_orphans, orphan_counts
 
 T0 = datetime(2025, 1, 1)
@@ -59,3 +63,27 @@ def test_nulls_repeats_and_empty_tables(spark):
 def test_counts(spark):
     found = attribute_orphans(*tables(spark, (), (), [bind(1, "o.A", 5), bind(2, "o.B", 6), bind(3, "o.A", 40)]))
     assert {tuple(r) for r in orphan_counts(found).collect()} == {("bindings", "2025-01", "missing", 2), ("bindings", "2025-02", "missing", 1)}
+
+
+def judged(lives, at):
+    """The definition: the kind of orphan at a time among (start, end) of all targets."""
+    started = [e for s, e in lives if s is not None and at is not None and s <= at]
+    return "missing" if not lives else "late" if not started else None if any(e is None or e > at for e in started) else "deleted"
+
+
+@pytest.mark.parametrize(("starts", "hot"), [(1_000, 1_000_000), (1_000, 3), (0, 1_000_000), (2, 2)])
+def test_hot_keys_like_the_definition(spark, monkeypatch, starts, hot):
+    monkeypatch.setattr(module, "MAX_STARTS", starts)
+    monkeypatch.setattr(module, "HOT_ROWS", hot)
+    rng = random.Random(starts + hot)
+    moment = lambda: None if rng.random() < 0.05 else T0 + timedelta(days=rng.randint(0, 2), seconds=rng.choice((0, 1, 5)), microseconds=rng.choice((0, 1, 7)))
+    names = ["Hot"] * 6 + ["B", "C", "D"]
+    attributes = [(i, "d", "T", "O", None, rng.choice(names), None, moment(), rng.choice((None, moment())), "x", "y") for i in range(60)]
+    attributes += attributes[:5]
+    bindings = [(i, rng.choice(("d", "d", "d", None)), "T", "O", f"o.{rng.choice([*names, 'None'])}", moment(), "z") for i in range(120)]
+    wanted = set()
+    for i, dump, _, _, path, at, _ in bindings:
+        lives = [(a[7], a[8]) for a in attributes if dump == "d" and a[5] == path[2:]]
+        if kind := judged(lives, at):
+            wanted.add(("bindings", i, kind))
+    assert orphans(spark, (), attributes, bindings + bindings[:9]) == wanted
