@@ -48,6 +48,11 @@ def p2_entries(spark, sf):
     return schema_drift.consistent_entries(read_table(spark, sf, "index_files"))
 
 
+def p2_values(spark, sf):
+    """The cells of the consistent table under the names that the files use, one per row."""
+    return schema_drift.entry_values(schema_drift.consistent_entries(read_table(spark, sf, "index_files"), follow_renames=False))
+
+
 def _orphans(spark, sf):
     return orphans.attribute_orphans(*(read_table(spark, sf, t) for t in ("reference_types", "object_attributes", "bindings")))
 
@@ -80,7 +85,12 @@ def p5_ledger(spark, sf):
     return _ledger(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_raw, p1_header, p1_child_counts, p2_found, p2_union_schema, p2_full_schema, p2_entries, p3_found, p3_monthly, p4_found, p4_report_check, p5_found, p5_ledger)}
+def p5_live(spark, sf):
+    """The same by the ledger itself: one lease and one commit a run."""
+    return incremental.live_forms(read_table(spark, sf, "freshness"), read_table(spark, sf, "unpack_runs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_raw, p1_header, p1_child_counts, p2_found, p2_union_schema, p2_full_schema, p2_entries, p2_values, p3_found, p3_monthly, p4_found, p4_report_check, p5_found, p5_ledger, p5_live)}
 
 _ORPHANS = """
 WITH children AS (
@@ -130,7 +140,8 @@ curs AS (
   WHERE f.form_name IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY r.run_no, f.form_name ORDER BY f.bin_mtime DESC NULLS LAST, f.delivered_at DESC, f.rec_id DESC NULLS LAST) = 1
 ), succeeded AS (SELECT run_no, lag(run_no) OVER (ORDER BY run_no) AS prev_no FROM runs WHERE ok)
-SELECT c.run_no, c.form_name
+"""
+_DUE = """SELECT c.run_no, c.form_name
 FROM succeeded s JOIN curs c ON c.run_no = s.run_no LEFT JOIN curs p ON p.run_no = s.prev_no AND p.form_name = c.form_name
 WHERE p.form_name IS NULL OR CASE WHEN c.trusted AND p.trusted THEN c.h != p.h ELSE abs(c.m - p.m) > 1.0 END
 """
@@ -196,6 +207,21 @@ fields AS (
 )
 """
 
+_VALUES = (
+    _HEADERS
+    + """, cells AS (
+  SELECT feed_id, file_no, rec_no, e.key AS field, e.type AS kind, e.value AS v FROM records, json_each(records.payload) e WHERE e.type != 'NULL'
+), names AS (
+  SELECT field, row_number() OVER (PARTITION BY lower(field) ORDER BY own DESC, field) AS k
+  FROM (SELECT DISTINCT field, field IN ('object_type', 'object_name', 'container_name', 'form_name') AS own FROM cells)
+), members AS (
+  SELECT DISTINCT c.v AS v, '{' || (SELECT coalesce(string_agg(to_json(o.key)::VARCHAR || ':' || json(o.value)::VARCHAR, ',' ORDER BY o.key), '') FROM json_each(c.v) o) || '}' AS sorted FROM cells c WHERE c.kind = 'OBJECT'
+)
+SELECT feed_id, file_no, rec_no, CASE WHEN k = 1 THEN field ELSE field || '__' || k END AS column_name,
+  CASE c.kind WHEN 'OBJECT' THEN m.sorted WHEN 'ARRAY' THEN json(c.v)::VARCHAR ELSE c.v ->> '$' END AS value
+FROM cells c JOIN names USING (field) LEFT JOIN members m ON c.kind = 'OBJECT' AND m.v = c.v"""
+)
+
 _FIELD_CHANGES = (
     _HEADERS.replace("WITH records", "WITH RECURSIVE records")
     + """, files AS (
@@ -228,6 +254,7 @@ UNION ALL SELECT feed_id, file_no, field, '', 'added' FROM begins b WHERE NOT EX
 
 ORACLES = {
     "p2_found": _FIELD_CHANGES,
+    "p2_values": _VALUES,
     "p1_found": _NESTED + "SELECT * FROM links",
     "p1_tree": _NESTED + "SELECT * FROM tree",
     "p1_raw": _NESTED + "SELECT * FROM raw",
@@ -248,5 +275,18 @@ ORACLES = {
 ), facts AS (SELECT c.* FROM changes c SEMI JOIN drift_reports d ON c.dump_id = d.dump_id AND c.snapshot_no = d.snapshot_no WHERE change_kind IN ('added', 'removed'))
 SELECT dump_id, snapshot_no, change_kind, count(*) FILTER (c AND f) AS confirmed, count(*) FILTER (c AND f IS NULL) AS only_claimed, count(*) FILTER (f AND c IS NULL) AS only_found
 FROM (SELECT *, true AS c FROM claims) FULL JOIN (SELECT *, true AS f FROM facts) USING (dump_id, snapshot_no, change_kind, form_key) GROUP BY ALL""",
-    "p5_found": _LEDGER,
+    "p5_found": _LEDGER + _DUE,
+    "p5_live": _LEDGER + _DUE,
+    "p5_ledger": _LEDGER
+    + """, numbered AS (
+  SELECT run_no, ok, row_number() OVER (ORDER BY run_no) AS token, 1 + coalesce(sum(ok::INT) OVER before, 0) AS commit_no, max(CASE WHEN ok THEN run_no END) OVER before AS base_no
+  FROM runs WINDOW before AS (ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), judged AS (
+  SELECT n.*, c.form_name, p.form_name IS NULL OR CASE WHEN c.trusted AND p.trusted THEN c.h != p.h ELSE abs(c.m - p.m) > 1.0 END AS pending
+  FROM numbered n JOIN curs c ON c.run_no = n.run_no LEFT JOIN curs p ON p.run_no = n.base_no AND p.form_name = c.form_name
+), spells AS (
+  SELECT *, coalesce(count(*) FILTER (ok OR NOT coalesce(pending, false)) OVER (PARTITION BY form_name ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spell FROM judged
+)
+SELECT form_name AS item, run_no, token::INT AS token, commit_no::INT AS commit_no, (row_number() OVER (PARTITION BY form_name, spell ORDER BY run_no))::INT AS attempt, CASE WHEN ok THEN 'done' ELSE 'expired' END AS state
+FROM spells WHERE pending""",
 }

@@ -1,9 +1,10 @@
 import json
+from decimal import Decimal
 
 import brute
 import pandas as pd
 
-from formquarry.operators.schema_drift import consistent_entries, field_changes, file_headers, file_kinds, union_schema
+from formquarry.operators.schema_drift import consistent_entries, entry_values, exact_schema, field_changes, file_headers, file_kinds, union_schema
 
 SCHEMA = "feed_id string, file_no int, rec_no int, payload string, field string, kind string"
 
@@ -77,6 +78,23 @@ def test_stray_values_survive(spark):
     assert rows[1, 3]["new"] == rows[2, 3]["new"] == "3" and rows[2, 9]["new"] == "x"
 
 
+def test_numbers_stay_exact(spark):
+    big, long = 2**53 + 1, 12345678901234567890123
+    values = {"int": [1, big], "d": [big, 2.25], "huge": [long, 1], "f": ["1e300", 2.5e-300], "mixed": [big, 1e300], "wide": [long, 0.12345678901234567], "one": [0.001, 0.5]}
+    df = files(spark, *[("a", 1, k, json.dumps(form(k, **{n: v[k] for n, v in values.items() if n != "f"}))) for k in range(2)], ("a", 1, 2, '{"object_name":"x","f":1e300}'), ("a", 1, 3, '{"f":2.5e-300}'))
+    assert {r.field: r.kind for r in exact_schema(file_kinds(df, exact=True)).collect()} == {"int": "bigint", "d": "decimal(21,2)", "huge": "decimal(23,0)", "f": "double", "mixed": "string", "wide": "string", "one": "decimal(3,3)"}
+    rows = {r.rec_no: r.asDict() for r in consistent_entries(df).collect()}
+    assert rows[1]["int"] == big and rows[0]["d"] == big and rows[1]["d"] == Decimal("2.25") and rows[0]["huge"] == long
+    assert rows[0]["mixed"] == str(big) and float(rows[1]["mixed"]) == 1e300 and rows[0]["wide"] == str(long) and rows[2]["f"] == 1e300 and rows[0]["one"] == Decimal("0.001")
+
+
+def test_no_value_is_lost(spark):
+    rows = [("a", 1, i, form(i, n=v)) for i, v in enumerate((0, "stray", 2, 3, 4, True, [1], {"k": 2**53 + 1}, 9007199254740993, None))]
+    cells = {(r.rec_no, r.column_name): r.value for r in entry_values(consistent_entries(files(spark, *rows, *rows))).collect()}
+    assert {i: cells.get((i, "n")) for i in range(10)} == {0: "0", 1: "stray", 2: "2", 3: "3", 4: "4", 5: "true", 6: "[1]", 7: '{"k":9007199254740993}', 8: "9007199254740993", 9: None}
+    assert sum(1 for (i, c) in cells if c != "n") == 40
+
+
 def test_entries_follow_renames(spark):
     df = files(
         spark,
