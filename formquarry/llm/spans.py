@@ -28,6 +28,8 @@ from formquarry.session import bounded, stored
 
 #: Shared anchors are broadcast up to so many (8 bytes each); beyond, the join shuffles.
 BROADCAST_ANCHORS = 1_000_000
+#: Places where texts are cut for the extension are broadcast up to so many (some 100 bytes each).
+BROADCAST_PLACES = 500_000
 _CHUNK = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -169,10 +171,14 @@ def _extend(docs: DataFrame, seeds: DataFrame, groups: DataFrame, length: int, d
     The window in a segment and its anchor fix each other, so equal windows always meet under one anchor.
     """
     standing = seeds.join(groups.select("anchor", "segment", F.col("low").alias("doc_id"), "low", "high"), ["anchor", "segment", "doc_id"])
-    one = standing.groupBy("anchor", "segment", "doc_id", "low", "high", "n").agg(F.min("start").alias("start"))
+    one = stored(standing.groupBy("anchor", "segment", "doc_id", "low", "high", "n").agg(F.min("start").alias("start")), "standing")
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # The places to cut go to the texts, or, where they are too many, only texts with such a place move.
+    places = bounded(one, BROADCAST_PLACES)
+    if places is one:
+        texts = texts.join(bounded(stored(one.select("doc_id").distinct(), "cut_ids"), BROADCAST_ANCHORS), "doc_id", "left_semi")
     cut = F.substring("text", F.col("start").cast("int") + 1, F.col("n") + length - 1)
-    pieces = one.join(texts, "doc_id").select("anchor", "segment", "low", "high", "n", cut.alias("piece"))
+    pieces = texts.join(places, "doc_id").select("anchor", "segment", "low", "high", "n", cut.alias("piece"))
     each = pieces.select("anchor", "segment", "low", "high", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at"), "piece")
     window = F.substring("piece", F.col("at") + 1, F.lit(length))
     hashed = each.select("anchor", "segment", "low", "high", "at", F.xxhash64(window).alias("w1"), F.xxhash64(F.lit(1), window).alias("w2"))
