@@ -48,6 +48,11 @@ def coverage_line() -> Column:
     return F.format_string("%.1f%% (%d/%d data, %d total, %s)", "coverage_pct", "bound_data_elements", "data_elements", "total_elements", "form_class")
 
 
+def coverage_record() -> Column:
+    """A coverage row as it goes into reports: the counts, the percentage to two digits, the class."""
+    return F.struct("total_elements", "data_elements", "bound_data_elements", F.bround("coverage_pct", 2).alias("coverage_pct"), "form_class")
+
+
 def reason_of_form(reasons: DataFrame, key: list[str], reason: str = "reason") -> DataFrame:
     """The one reason of a form's elements, ``mixed`` if there are several, NULL if there is none; order plays no part."""
     low, high = F.min(reason), F.max(reason)

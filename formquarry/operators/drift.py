@@ -49,9 +49,15 @@ def stale(baseline: DataFrame, files: DataFrame, by: list[str] | None = None) ->
     return known.join(files.select(*by, "path").distinct(), [*by, "path"], "left_anti").select(*by, "form_key", F.lit("stale_extractions").alias("kind")).distinct()
 
 
-def drift_report(changes: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Wide form: one sorted list per kind and whether anything changed; one row per dump (or one in all)."""
+def drift_report(changes: DataFrame, by: list[str] | None = None, every: DataFrame | None = None) -> DataFrame:
+    """Wide form: one sorted list per kind and whether anything changed; one row per dump (or one in all).
+
+    ``every``: the dumps (by...) that are to have a report even if nothing changed.
+    """
     by = by or []
     lists = [F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("form_key")))).alias(k) for k in KINDS]
     wide = changes.groupBy(*by).agg(*lists)
+    if every is not None:
+        empty = F.array().cast("array<string>")
+        wide = every.select(*by).distinct().join(wide, by, "left").withColumns({k: F.coalesce(k, empty) for k in KINDS})
     return wide.select(*by, (sum(F.size(k) for k in KINDS) > 0).alias("has_drift"), *KINDS, F.current_timestamp().alias("checked_at"))

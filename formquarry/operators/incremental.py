@@ -3,8 +3,10 @@
 A work item is a record key with a version. It is *pending* when the current version is new or
 differs from the one seen by the last successful run, *leased* to a run under a fencing token, and
 *done* once that run succeeds; the lease of a run that fails, aborts or never reports expires and
-the item is pending again. ``replay`` folds these transitions over a history of runs, each key on
-its own; ``formquarry.operators.ledger`` keeps the same states in a shared folder for live runs.
+the item is pending again. Every run takes one lease: its token is the lease's number, its output path
+belongs to the commit it would make, so every attempt at the same commit has the same one. ``replay``
+folds these transitions over a history of runs, each key on its own, in one pass; ``live_runs`` drives
+``formquarry.operators.ledger`` through the same history, run by run, as live runs do.
 
 Defined results: rows without key or delivery time are left out; NULL change times sort lowest;
 repeated rows are the same version; a run without status counts as failed; no runs or no rows give
@@ -13,9 +15,15 @@ no events; extra columns are never read.
 
 from __future__ import annotations
 
+from datetime import timedelta
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formquarry.operators.ledger import WorkLedger
+from formquarry.session import ensure_shared_dir
+
 #: Runs are driver-side metadata; their number is checked against this bound.
 MAX_RUNS = 10_000
 
@@ -38,36 +46,87 @@ def visible_versions(feed: DataFrame, starts: list, key: str, delivered: str, ve
     slot = F.size(F.filter(at, lambda s: s < F.col(delivered).cast("timestamp_ntz")))
     rows = feed.where(F.col(key).isNotNull() & F.col(delivered).isNotNull()).select(F.col(key).alias("item"), slot.alias("slot"), version.alias("version")).where(F.col("slot") < len(starts))
     slots = rows.groupBy("item", "slot").agg(F.max("version").alias("version"))
-    return slots.groupBy("item").agg(F.collect_list(F.struct("slot", "version")).alias("seen"))
+    return slots.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("slot", "version"))).alias("seen"))
 
 
 def replay(feed: DataFrame, runs: DataFrame, key: str, delivered: str, version: Column, changed: str) -> DataFrame:
-    """(item, run_no, token, attempt, state in done/expired): the ledger's leases and what became of them.
+    """(item, run_no, token, commit_no, attempt, state in done/expired): the ledger's leases and what became of them.
 
-    ``version`` is a struct that sorts by age; ``changed`` is SQL over structs ``cur`` and ``was``.
+    ``version`` is a struct that sorts by age; ``changed`` is SQL over structs ``cur`` and ``was``. The fold carries
+    the greatest version seen so far, so each run looks only at what came since the run before.
     """
     history = run_history(runs)
     starts = sorted({h[1] for h in history})
     if not history:
-        return feed.select(F.col(key).alias("item"), F.lit(0).alias("run_no"), F.lit(0).alias("token"), F.lit(0).alias("attempt"), F.lit("").alias("state")).where("false")
+        none = [F.lit(0).alias(n) for n in ("run_no", "token", "commit_no", "attempt")]
+        return feed.select(F.col(key).alias("item"), *none, F.lit("").alias("state")).where("false")
     seen = visible_versions(feed, starts, key, delivered, version)
     kind = seen.schema["seen"].dataType.elementType["version"].dataType.simpleString()
-    steps = ",".join(f"named_struct('run_no', {n}, 'slot', {starts.index(t)}, 'ok', {str(ok).lower()})" for n, t, ok in history)
-    init = f"named_struct('was', cast(NULL as {kind}), 'attempt', 0, 'out', cast(array() as array<struct<run_no:int,token:int,attempt:int,state:string>>))"
-    current = "array_max(transform(filter(seen, v -> v.slot <= r.slot), v -> v.version))"
-    pending = f"(cur IS NOT NULL AND (a.was IS NULL OR coalesce({changed.replace('was.', 'a.was.')}, false)))"
-    lease = "array(named_struct('run_no', r.run_no, 'token', r.run_no, 'attempt', a.attempt + 1, 'state', if(r.ok, 'done', 'expired')))"
-    after = f"named_struct('was', if(r.ok, cur, a.was), 'attempt', if({pending} AND NOT r.ok, a.attempt + 1, 0), 'out', if({pending}, concat(a.out, {lease}), a.out))"
-    fold = f"aggregate(array({steps}), {init}, (a, r) -> transform(array({current}), cur -> {after})[0], a -> a.out)"
+    steps, commit = [], 1
+    for token, (number, start, ok) in enumerate(history, 1):
+        steps.append(f"named_struct('run_no', {number}, 'token', {token}, 'commit_no', {commit}, 'slot', {starts.index(start)}, 'ok', {str(ok).lower()})")
+        commit += ok
+    out = "array<struct<run_no:int,token:int,commit_no:int,attempt:int,state:string>>"
+    init = f"named_struct('cur', cast(NULL as {kind}), 'next', 0, 'was', cast(NULL as {kind}), 'attempt', 0, 'out', cast(array() as {out}))"
+    # Runs are in order of their number, which need not be that of their starts; then the next slot lies behind and all are looked at again.
+    behind = "(a.next > 0 AND get(seen, a.next - 1).slot > r.slot)"
+    fresh = f"filter(slice(seen, if({behind}, 0, a.next) + 1, size(seen)), v -> v.slot <= r.slot)"
+    newest = f"array_max(concat(if({behind}, array(), array(a.cur)), transform(f, v -> v.version)))"
+    at = f"if({behind}, 0, a.next) + size(f)"
+    pending = f"(c.cur IS NOT NULL AND (a.was IS NULL OR coalesce({changed.replace('was.', 'a.was.').replace('cur.', 'c.cur.')}, false)))"
+    lease = "array(named_struct('run_no', r.run_no, 'token', r.token, 'commit_no', r.commit_no, 'attempt', a.attempt + 1, 'state', if(r.ok, 'done', 'expired')))"
+    after = (
+        f"named_struct('cur', c.cur, 'next', c.next, 'was', if(r.ok, c.cur, a.was), 'attempt', if({pending} AND NOT r.ok, a.attempt + 1, 0),"
+        f" 'out', if({pending}, concat(a.out, {lease}), a.out))"
+    )
+    current = f"transform(array({fresh}), f -> named_struct('cur', {newest}, 'next', {at}))"
+    fold = f"aggregate(array({','.join(steps)}), {init}, (a, r) -> transform({current}, c -> {after})[0], a -> a.out)"
     return seen.selectExpr("item", f"inline({fold})")
 
 
+def live_runs(feed: DataFrame, runs: DataFrame, key: str, delivered: str, version: Column, changed: str, folder: str) -> DataFrame:
+    """(run_no, item): what each successful run of a history processes, with a ``WorkLedger`` below ``folder`` in between.
+
+    Each run leases, writes what is pending to its token's path, and commits, gives up (failed) or goes silent, all
+    at the times of the history; the result is read from the outputs that commits name.
+    """
+    spark, now = feed.sparkSession, [0.0]
+    ledger = WorkLedger(spark, folder, clock=lambda: now[0])
+    rows = feed.where(F.col(key).isNotNull() & F.col(delivered).isNotNull()).select(F.col(key).alias("item"), version.alias("version"), F.col(delivered).cast("timestamp_ntz").alias("at"))
+    ends = {r.run_no: (r.finished_at, r.run_status) for r in runs.groupBy("run_no").agg(F.max("finished_at").alias("finished_at"), F.min("run_status").alias("run_status")).collect()}
+    differs = F.expr(changed.replace("cur.", "version."))
+    for number, start, ok in run_history(runs):
+        now[0] = start.timestamp()
+        end, status = ends[number]
+        end = end or start + timedelta(minutes=1)
+        token = ledger.lease((end - start).total_seconds() + 1)
+        current = rows.where(F.col("at") <= F.lit(start)).groupBy("item").agg(F.max("version").alias("version"))
+        ledger.pending(current, differs).select(F.lit(number).alias("run_no"), "item").write.mode("overwrite").parquet(ledger.output_path(token))
+        now[0] = end.timestamp()
+        if ok:
+            ledger.commit(token, current)
+        elif status == "failed":
+            ledger.give_up(token)
+    done = ledger.outputs()
+    return spark.read.parquet(*done) if done else spark.createDataFrame([], f"run_no int, item {rows.schema['item'].dataType.simpleString()}")
+
+
+_VERSION = ("bin_mtime", "delivered_at", "rec_id", "unpacked_mtime", "lower(bsl_sha256) AS bsl_sha256")
+_TRUSTED = "({0}.bsl_sha256 IS NOT NULL AND {0}.unpacked_mtime IS NOT NULL AND coalesce({0}.bin_mtime <= {0}.unpacked_mtime, false))"
+#: The rule of change: trusted hashes decide, else a second of difference.
+CHANGED = f"if({_TRUSTED.format('cur')} AND {_TRUSTED.format('was')}, cur.bsl_sha256 != was.bsl_sha256, coalesce(abs(cur.bin_mtime - was.bin_mtime) > 1.0, NOT (cur.bin_mtime <=> was.bin_mtime)))"
+
+
 def form_runs(freshness: DataFrame, runs: DataFrame) -> DataFrame:
     """The ledger of form extraction; rows in state ``done`` are the forms each successful run has to process."""
-    version = F.struct("bin_mtime", "delivered_at", "rec_id", "unpacked_mtime", F.lower("bsl_sha256").alias("bsl_sha256"))
-    trusted = "({0}.bsl_sha256 IS NOT NULL AND {0}.unpacked_mtime IS NOT NULL AND coalesce({0}.bin_mtime <= {0}.unpacked_mtime, false))"
-    changed = f"if({trusted.format('cur')} AND {trusted.format('was').replace('was.', 'was.')}, cur.bsl_sha256 != was.bsl_sha256, coalesce(abs(cur.bin_mtime - was.bin_mtime) > 1.0, NOT (cur.bin_mtime <=> was.bin_mtime)))"
-    return replay(freshness, runs, "form_name", "delivered_at", version, changed)
+    return replay(freshness, runs, "form_name", "delivered_at", F.struct(*map(F.expr, _VERSION)), CHANGED)
+
+
+def live_forms(freshness: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_no, form_name): as ``due_forms``, by live runs over a ledger in the shared folder."""
+    folder = f"{ensure_shared_dir(freshness.sparkSession).rstrip('/')}/ledger-{uuid4().hex}"
+    found = live_runs(freshness, runs, "form_name", "delivered_at", F.struct(*map(F.expr, _VERSION)), CHANGED, folder)
+    return found.select("run_no", F.col("item").alias("form_name"))
 
 
 def due_forms(ledger: DataFrame) -> DataFrame:

@@ -14,9 +14,13 @@ of the input are never read, whatever their names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from formquarry.functions.json import NULL_UUID, UUID, allow_duplicate_keys, as_array, as_text, let, parsed, parsed_in_brackets
+from formquarry.functions.json import MAX_NESTING, NULL_UUID, UUID, allow_duplicate_keys, as_array, as_text, let, parsed, parsed_in_brackets
+from formquarry.session import arrow_function
 
 #: What is read of a tree node: the VARIANTs that may hold nodes below it.
 _NODE = "struct<`child` variant,`items` variant>"
@@ -161,3 +165,24 @@ def entry_links(owner_objects: DataFrame, id_col: str = "object_id", text_col: s
 def nested_links(elem_files: DataFrame, owner_objects: DataFrame) -> DataFrame:
     """All parent-child links of both sources, distinct: ``p1_found``."""
     return element_links(elem_files).unionByName(entry_links(owner_objects)).distinct()
+
+
+def _depth(text: str | None) -> int | None:
+    """How deep the brackets of a text nest, those in its strings aside."""
+    deepest = depth = 0
+    for bracket in re.findall(r"[\[\]{}]", re.sub(r'"(?:[^"\\]|\\.)*("|$)', "", text or "", flags=re.DOTALL)):
+        depth += 1 if bracket in "[{" else -1
+        deepest = max(deepest, depth)
+    return deepest
+
+
+def unread_texts(df: DataFrame, source: str, id_col: str, text_col: str) -> DataFrame:
+    """(source, row_id, reason) of the texts that give no rows anywhere: ``no text`` (NULL or empty), ``not JSON``, or ``nested too deep``
+    for the parser, which admits MAX_NESTING - 1 levels; repeated rows count once.
+    """
+    allow_duplicate_keys(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
+    failed = rows.where(f"coalesce(text, '') = '' OR {parsed_in_brackets('text')} IS NULL")
+    depth = arrow_function(_depth, "int")(F.col("text"))
+    reason = F.when(F.coalesce("text", F.lit("")) == "", "no text").when(depth >= MAX_NESTING, "nested too deep").otherwise("not JSON")
+    return failed.select(F.lit(source).alias("source"), "row_id", reason.alias("reason")).distinct()

@@ -1,44 +1,39 @@
 """Attributes and reference types of owner objects.
 
-Each header is decoded once, in Arrow batches; everything after that is relational. NULL, broken and
+Each header is decoded once, in Arrow batches to typed rows; everything after that is relational. NULL, broken and
 unknown headers give one row with an error code in ``decode_objects`` and no attributes.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formquarry.decoders import owner
 from formquarry.functions import domain as D
 from formquarry.operators.dedup import keep_first
+from formquarry.session import arrow_function
 
 _ATTRIBUTE = "struct<section_ord:int,section_uuid:string,section_name:string,section_synonym:string,attr_ord:int,uuid:string,name:string,type:string,synonym:string>"
 _DECODED = f"struct<error:string,warnings:array<string>,rows:array<{_ATTRIBUTE}>,identity:array<string>>"
 
 
-def _decode(text: str | None, wrapped: bool) -> str:
+def _decode(text: str | None, wrapped: bool) -> dict:
     found = owner.decode(text, wrapped)
     rows = [{"attr_ord": i, **a._asdict()} for i, a in enumerate(found.attributes)]
     for n, s in enumerate(found.sections):
         section = {"section_ord": n, "section_uuid": s.uuid, "section_name": s.name, "section_synonym": s.synonym}
         rows += [section | {"attr_ord": i, **c._asdict()} for i, c in enumerate(s.columns)] or [section]
-    return json.dumps({"error": found.error, "warnings": found.warnings, "rows": rows, "identity": owner.identity(text, wrapped)}, ensure_ascii=False)
+    return {"error": found.error, "warnings": found.warnings, "rows": rows, "identity": owner.identity(text, wrapped)}
 
 
 def decode_objects(objects: DataFrame, text: str, wrapped: bool = True) -> DataFrame:
     """``objects`` with a column ``decoded``: error code, warnings, attribute rows, identity UUIDs."""
 
-    @F.pandas_udf("string")
-    def decode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([_decode(t, wrapped) for t in batch], dtype=object)
+    def decode(text: str | None) -> dict:
+        return _decode(text, wrapped)
 
-    return objects.withColumn("decoded", F.from_json(decode(text), _DECODED))
+    return objects.withColumn("decoded", arrow_function(decode, _DECODED)(F.col(text)))
 
 
 def object_attributes(decoded: DataFrame, key: list[str]) -> DataFrame:

@@ -7,14 +7,12 @@ NULL content, content that is no container and text without a query give a row w
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formquarry.decoders import report
+from formquarry.session import arrow_function
 
 _READ = "struct<warning:string,datasets:array<struct<ord:int,name:string,query:string>>>"
 
@@ -22,16 +20,12 @@ _READ = "struct<warning:string,datasets:array<struct<ord:int,name:string,query:s
 def containers(files: DataFrame, content: str = "content", nearest: bool = True) -> DataFrame:
     """``files`` with a column ``report``: a warning and the data sets."""
 
-    def read_one(data: bytes | None) -> str:
-        text, wrong = report.container_text(bytes(data) if data is not None else None)
+    def read(data: bytes | None) -> dict:
+        text, wrong = report.container_text(data)
         found = report.datasets(text, nearest)
-        return json.dumps({"warning": wrong or (None if found else "no query found"), "datasets": found}, ensure_ascii=False)
-
-    @F.pandas_udf("string")
-    def read(data: pd.Series) -> pd.Series:
-        return pd.Series([read_one(d) for d in data], dtype=object)
+        return {"warning": wrong or (None if found else "no query found"), "datasets": found}
 
-    return files.withColumn("report", F.from_json(read(content), _READ)).drop(content)
+    return files.withColumn("report", arrow_function(read, _READ)(F.col(content))).drop(content)
 
 
 def report_queries(read: DataFrame, key: list[str]) -> DataFrame:

@@ -7,10 +7,13 @@ module stays empty.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formquarry.functions.text import cut_text
+from formquarry.session import arrow_function
 
 # Markers and placeholders of the rendered context.
 SUMMARY_MARKER, ATTRIBUTES_MARKER, CODE_MARKER = "## SUMMARY", "## OBJECT_ATTRIBUTES", "## BSL"
@@ -56,6 +59,15 @@ def summary_json(warnings: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts, said), F.lit("}"))
 
 
+def normalized_json(summary: Column) -> Column:
+    """A summary's JSON text in its normal form: sorted keys, an indent of two blanks, letters as they are."""
+
+    def normal(text: str | None) -> str | None:
+        return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, indent=2)
+
+    return arrow_function(normal, "string")(summary)
+
+
 def context_text(summary: Column, attributes: Column, module: Column, limit: int = -1) -> Column:
     """The rendered context: title, summary, attributes, code; cut to ``limit`` code points (-1: whole)."""
     ids = [_given(F.col(c)) for c in ("object_type", "object_name", "container_name", "form_name")]

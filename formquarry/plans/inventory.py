@@ -10,7 +10,7 @@ from formquarry.functions.json import is_uuid
 from formquarry.functions.keys import composite_key
 from formquarry.functions.text import cut_text, descent, ids_of_path, path_segments, relative_to, safe_path_ref, unquote_lenient, unquote_strict, without_root
 from formquarry.operators import bindings, classify, coverage, dedup, drift, elements, freshness, objects, reports, routing, summary
-from formquarry.session import read_table
+from formquarry.session import read_table, stored
 
 _IDS = ["object_type", "object_name", "container_name", "form_name"]
 
@@ -39,8 +39,8 @@ def drift_steps(spark, sf):
 
 
 def drift_step_lists(spark, sf):
-    """The report of every step that has drift."""
-    return drift.drift_report(drift_steps(spark, sf), ["dump_id", "step_no"]).drop("checked_at").select("dump_id", "step_no", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
+    """The report of every step, also of those without drift."""
+    return drift.drift_report(drift_steps(spark, sf), ["dump_id", "step_no"], _snapshot_steps(spark, sf)[1]).drop("checked_at").select("dump_id", "step_no", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
 
 
 def stale_steps(spark, sf):
@@ -65,7 +65,8 @@ def drift_diff(spark, sf):
 
 
 def drift_lists(spark, sf):
-    return drift.drift_report(drift_diff(spark, sf), ["dump_id"]).drop("checked_at").select("dump_id", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
+    dumps = read_table(spark, sf, "form_scans").where("dump_id IS NOT NULL AND snapshot_no IS NOT NULL").select("dump_id")
+    return drift.drift_report(drift_diff(spark, sf), ["dump_id"], dumps).drop("checked_at").select("dump_id", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
 
 
 def stale_paths(spark, sf):
@@ -132,6 +133,26 @@ def _bound(spark, sf):
     return read_table(spark, sf, "bindings").where("form_key IS NOT NULL").select("dump_id", "form_key", F.element_at(parts, -1).alias("form_name"), kind.alias("type"), "data_path", "resolved")
 
 
+def _as_elements(spark, sf):
+    """Bindings as the elements of their forms, of every source, some with a handler; the middle of a path is the parent."""
+    rows = read_table(spark, sf, "bindings").where("form_key IS NOT NULL AND binding_id IS NOT NULL").select("binding_id", "dump_id", "form_key", "attribute_name", "value_type", "data_path").distinct()
+    source = F.expr("element_at(array('data', 'props', 'commands', 'tree'), int(binding_id % 4) + 1)")
+    none = F.lit(None).cast("string")
+    parent = F.expr("CASE WHEN size(split(data_path, '[.]')) = 3 THEN nullif(split(data_path, '[.]')[1], '') END")
+    handler = F.when(F.col("binding_id") % 5 == 0, F.concat("attribute_name", F.lit("Нажатие")))
+    return rows.select("dump_id", "form_key", F.col("binding_id").alias("ord"), F.col("attribute_name").alias("name"), F.col("value_type").alias("type"), parent.alias("parent"), none.alias("parent_path"), none.alias("path"), none.alias("page"), source.alias("source"), handler.alias("handler"), "data_path")
+
+
+def binding_summary(spark, sf):
+    """The summary of each form in long form, from its bindings."""
+    return summary.summary_rows(_as_elements(spark, sf), ["dump_id", "form_key"])
+
+
+def binding_parents(spark, sf):
+    """Elements whose parent is none of their form."""
+    return elements.missing_parents(_as_elements(spark, sf), ["dump_id", "form_key"])
+
+
 def binding_coverage(spark, sf):
     return coverage.coverage(_bound(spark, sf), ["dump_id", "form_key"])
 
@@ -219,14 +240,6 @@ def text_fragments(spark, sf):
     return docs.select("doc_id", cut_text(F.concat(F.lit("# "), F.coalesce("object_key", F.lit("")), F.lit("\n"), "text"), 200).alias("fragment"), cut_text(F.col("text"), 0).alias("none"))
 
 
-def elem_only(spark, sf):
-    """Forms of each snapshot that have an element file and no code."""
-    scans = read_table(spark, sf, "form_scans").where("form_name IS NOT NULL")
-    form = ["dump_id", "snapshot_no", "form_key"]
-    keyed = scans.withColumn("form_key", composite_key(*_IDS))
-    return keyed.where("elem_json_path IS NOT NULL").select(*form).distinct().join(keyed.where("bsl_path IS NOT NULL").select(*form), form, "left_anti")
-
-
 def _parsed(spark, sf):
     """Every element file with the attribute names of its owner."""
     files = read_table(spark, sf, "elem_files").withColumn("parts", F.split("form_key", "/")).withColumns({"object_type": F.get("parts", F.lit(0)), "object_name": F.get("parts", F.lit(1)), "form_name": F.element_at("parts", -1)})
@@ -234,7 +247,8 @@ def _parsed(spark, sf):
     owner = ["dump_id", "object_type", "object_name"]
     names = objects.attribute_names(attributes.where("uuid IS NOT NULL AND name IS NOT NULL"), owner)
     one = dedup.keep_first(files.select("elem_id", *owner, "form_name", "form_key", "elem"), ["elem_id"], ["elem"])
-    return elements.parse_forms(one.join(names, owner, "left"), "elem", F.col("names"), common=F.col("object_type") == "CommonForm")
+    parsed = elements.parse_forms(one.join(names, owner, "left"), "elem", F.col("names"), common=F.col("object_type") == "CommonForm")
+    return stored(parsed.drop("elem", "names"), "parsed")  # parsed once, however often a query reads it
 
 
 def element_parse(spark, sf):
@@ -286,7 +300,8 @@ def form_contexts(spark, sf):
 
 
 def _decoded(spark, sf):
-    return objects.decode_objects(dedup.keep_first(read_table(spark, sf, "owner_objects"), ["object_id"], ["header"]), "header", wrapped=False)
+    first = dedup.keep_first(read_table(spark, sf, "owner_objects"), ["object_id"], ["header"])
+    return stored(objects.decode_objects(first, "header", wrapped=False).drop("header"), "decoded")
 
 
 def header_decode(spark, sf):
@@ -313,18 +328,13 @@ def query_datasets(spark, sf):
     return reports.report_queries(reports.containers(docs), ["doc_id"])
 
 
-def column_definitions(spark, sf):
-    """Procedures that module texts declare."""
-    return elements.procedures_of(read_table(spark, sf, "documents"), ["doc_id"], "text")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         form_key, drift_diff, drift_lists, stale_paths, drift_steps, drift_step_lists, stale_steps, upsert_all, content_hash, stale_entries, current_freshness, route_exact, route_object, route_type, upsert_reindex, ref_lookup, resolve_bindings,
-        unique_probe, binding_coverage, form_classes, name_classes, widget_classes, reason_of_form, reason_counts, path_refs, path_ids, relative_paths, first_wins, last_wins, priority_merge,
-        uuid_check, quoted_literals, json_aliases, version_suffixes, text_fragments, elem_only, element_parse, structure_hashes, element_warnings, zero_bindings, unindexed_reason,
-        missing_parents, element_coverage, summary_buckets, form_contexts, header_decode, header_errors, reference_index, query_blocks, query_datasets, column_definitions,
+        unique_probe, binding_summary, binding_parents, binding_coverage, form_classes, name_classes, widget_classes, reason_of_form, reason_counts, path_refs, path_ids, relative_paths, first_wins, last_wins, priority_merge,
+        uuid_check, quoted_literals, json_aliases, version_suffixes, text_fragments, element_parse, structure_hashes, element_warnings, zero_bindings, unindexed_reason,
+        missing_parents, element_coverage, summary_buckets, form_contexts, header_decode, header_errors, reference_index, query_blocks, query_datasets,
     )
 }
 
@@ -367,23 +377,30 @@ _BOUND = """bound AS (
   SELECT dump_id, form_key, string_split(form_key, '/')[-1] AS form_name, CASE WHEN value_type = 'Boolean' THEN 'CheckBox' WHEN value_type IS NULL THEN NULL ELSE 'Field' END AS type, data_path, resolved
   FROM bindings WHERE form_key IS NOT NULL
 )"""
+_ELEMENTS = """WITH rows_ AS (SELECT DISTINCT binding_id, dump_id, form_key, attribute_name, value_type, data_path FROM bindings WHERE form_key IS NOT NULL AND binding_id IS NOT NULL),
+e AS (
+  SELECT dump_id, form_key, binding_id AS ord, attribute_name AS name, CASE WHEN len(string_split(data_path, '.')) = 3 THEN nullif(string_split(data_path, '.')[2], '') END AS parent, data_path,
+    ['data', 'props', 'commands', 'tree'][binding_id % 4 + 1] AS source, to_json(coalesce(attribute_name, ''))::VARCHAR AS n, to_json(coalesce(nullif(value_type, ''), 'Unknown'))::VARCHAR AS t,
+    CASE WHEN binding_id % 5 = 0 THEN nullif(attribute_name || 'Нажатие', '') END AS h FROM rows_
+)"""
 _CLASS = f"CASE WHEN {_SERVICE} THEN 'service' WHEN bool_or(coalesce(type IN ('Field', 'CheckBox') AND starts_with(lower(data_path), 'объект.'), false)) THEN 'object' ELSE 'service' END"
 _LATEST = "SELECT * FROM freshness WHERE form_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY form_name ORDER BY delivered_at DESC NULLS LAST, rec_id DESC NULLS LAST) = 1"
+_FIRST_HEADERS = "WITH first_headers AS (SELECT *, ltrim(header, chr(65279)) AS h FROM owner_objects QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY header NULLS FIRST, dump_id, object_type, object_name) = 1) "
 _REASONS = f"WITH {_BOUND}, reasons AS (SELECT dump_id, form_key, CASE WHEN data_path IS NULL THEN 'no_path' WHEN NOT coalesce(resolved, false) THEN 'unresolved' END AS reason FROM bound), forms AS (SELECT dump_id, form_key, CASE WHEN count(DISTINCT reason) = 1 THEN min(reason) WHEN count(DISTINCT reason) > 1 THEN 'mixed' END AS reason FROM reasons GROUP BY ALL) "
 
 ORACLES = {
     "form_key": f"SELECT DISTINCT dump_id, {_KEY} AS form_key FROM form_scans",
     "drift_diff": _DRIFT + " SELECT * FROM kinds",
     "drift_lists": _DRIFT
-    + " SELECT dump_id, true AS has_drift, "
+    + " SELECT dump_id, count(kind) > 0 AS has_drift, "
     + ", ".join(f"coalesce(string_agg(form_key, '|' ORDER BY form_key) FILTER (kind = '{k}'), '') AS {k}" for k in drift.KINDS)
-    + " FROM kinds GROUP BY dump_id",
+    + " FROM (SELECT DISTINCT dump_id FROM scans) LEFT JOIN kinds USING (dump_id) GROUP BY dump_id",
     "stale_paths": _EDGES + " SELECT DISTINCT form_key, 'stale_extractions' AS kind FROM firsts f WHERE coalesce(bsl_path, '') != '' AND NOT EXISTS (SELECT 1 FROM lasts l WHERE l.bsl_path = f.bsl_path)",
     "drift_steps": _STEP_DRIFT + " SELECT * FROM kinds",
     "drift_step_lists": _STEP_DRIFT
-    + " SELECT dump_id, step_no, true AS has_drift, "
+    + " SELECT dump_id, step_no, count(kind) > 0 AS has_drift, "
     + ", ".join(f"coalesce(string_agg(form_key, '|' ORDER BY form_key) FILTER (kind = '{k}'), '') AS {k}" for k in drift.KINDS)
-    + " FROM kinds GROUP BY dump_id, step_no",
+    + " FROM (SELECT DISTINCT dump_id, step_no FROM news) LEFT JOIN kinds USING (dump_id, step_no) GROUP BY dump_id, step_no",
     "stale_steps": _STEPS + " SELECT DISTINCT dump_id, step_no, form_key, 'stale_extractions' AS kind FROM olds f WHERE coalesce(bsl_path, '') != '' AND NOT EXISTS (SELECT 1 FROM news l WHERE l.dump_id = f.dump_id AND l.step_no = f.step_no AND l.bsl_path = f.bsl_path)",
     "upsert_all": _STEPS + " SELECT dump_id, form_key, max(snapshot_no) AS snapshot_no FROM picked GROUP BY dump_id, form_key, object_type, object_name, container_name, form_name",
     "content_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
@@ -410,6 +427,18 @@ FROM m JOIN a USING (dump_id, object_type, object_name, uuid) GROUP BY m.dump_id
     "binding_coverage": f"""WITH {_BOUND} SELECT dump_id, form_key, form_name, count(*) AS total_elements, count(*) FILTER (type IN ('Field', 'CheckBox')) AS data_elements,
   count(*) FILTER (type IN ('Field', 'CheckBox') AND coalesce(data_path, '') != '') AS bound_data_elements,
   coalesce(count(*) FILTER (type IN ('Field', 'CheckBox') AND coalesce(data_path, '') != '') / nullif(count(*) FILTER (type IN ('Field', 'CheckBox')), 0)::DOUBLE, 0.0) * 100.0 AS coverage_pct, {_CLASS} AS form_class FROM bound GROUP BY dump_id, form_key, form_name""",
+    "binding_parents": _ELEMENTS + "SELECT dump_id, form_key, name, parent FROM e WHERE coalesce(parent, '') != '' AND NOT EXISTS (SELECT 1 FROM e k WHERE k.dump_id IS NOT DISTINCT FROM e.dump_id AND k.form_key = e.form_key AND k.name = e.parent)",
+    "binding_summary": _ELEMENTS
+    + """, items AS (
+  SELECT dump_id, form_key, ord, 0 AS step, CASE source WHEN 'props' THEN 'attributes' WHEN 'commands' THEN 'commands' ELSE 'elements' END AS bucket,
+    CASE source WHEN 'props' THEN '{"name":' || n || ',"type":' || t || '}'
+      WHEN 'commands' THEN '{' || coalesce('"handler":' || to_json(h)::VARCHAR || ',', '') || '"name":' || n || ',"type":' || t || '}'
+      ELSE '{"kind":' || t || ',"name":' || n || coalesce(',"parent":' || to_json(parent)::VARCHAR, '') || ',"source":"' || source || '"}' END AS item FROM e
+  UNION ALL SELECT dump_id, form_key, ord, 1, 'relations', '{"element":' || n || ',"kind":"data","target":' || to_json(data_path)::VARCHAR || '}' FROM e WHERE coalesce(data_path, '') != ''
+  UNION ALL SELECT dump_id, form_key, ord, 2, 'events', '{"element":' || n || ',"name":' || to_json(h)::VARCHAR || '}' FROM e WHERE h IS NOT NULL
+  UNION ALL SELECT dump_id, form_key, ord, 3, 'relations', '{"element":' || n || ',"kind":"event","target":' || to_json(h)::VARCHAR || '}' FROM e WHERE h IS NOT NULL
+), numbered AS (SELECT *, ord * 8 + row_number() OVER (PARTITION BY dump_id, form_key, ord, u ORDER BY step) - 1 AS spot FROM (SELECT i.*, 0 AS u FROM items i))
+SELECT dump_id, form_key, bucket, min(spot) AS ord, item FROM numbered GROUP BY dump_id, form_key, bucket, item""",
     "form_classes": f"WITH {_BOUND} SELECT dump_id, form_key, form_name, {_CLASS} AS form_class FROM bound GROUP BY dump_id, form_key, form_name",
     "name_classes": f"SELECT form_name, CASE WHEN {_SERVICE} THEN 'service' ELSE 'unknown' END AS by_name, CASE WHEN coalesce(form_name, '') != '' AND {_SERVICE} THEN 'service' ELSE 'unknown' END AS form_class, {_REASON} AS reason FROM (SELECT DISTINCT form_name FROM form_scans)",
     "widget_classes": f"SELECT form_name, flag, CASE WHEN flag != 'true' AND {_REASON} IN ('by_service_pattern', 'empty_tree_name_hint') THEN 'service' ELSE 'unknown' END AS form_class FROM (SELECT DISTINCT form_name FROM form_scans), (VALUES ('none'), ('false'), ('true')) AS f(flag)",
@@ -435,5 +464,18 @@ SELECT dump_id, uuid, arg_min(value_type, (rank, value_type)) FILTER (value_type
   FROM (SELECT DISTINCT feed_id, file_no, rec_no, payload FROM index_files WHERE json_valid(payload))) WHERE h IS NOT NULL AND NOT starts_with(h, '{')""",
     "version_suffixes": "SELECT c || '.obj.3.0.' || v || '.bsl' AS bsl, c || '.' || v || '.json' AS json, '3.0.' || v AS bsl_version, v::VARCHAR AS json_version, NULL::VARCHAR AS plain_version FROM (SELECT DISTINCT container_name AS c, snapshot_no % 40 AS v FROM form_scans WHERE container_name IS NOT NULL AND snapshot_no IS NOT NULL)",
     "text_fragments": "SELECT doc_id, substr('# ' || coalesce(object_key, '') || chr(10) || text, 1, 200) AS fragment, CASE WHEN text IS NOT NULL THEN '' END AS none FROM documents",
-    "elem_only": f"WITH k AS (SELECT *, {_KEY} AS form_key FROM form_scans WHERE form_name IS NOT NULL) SELECT dump_id, snapshot_no, form_key FROM k GROUP BY ALL HAVING count(elem_json_path) > 0 AND count(bsl_path) = 0",
+    "header_errors": _FIRST_HEADERS + """SELECT CASE WHEN header IS NULL THEN 'json_not_found' WHEN NOT json_valid(h) THEN 'json_parse_error' WHEN json_type(h) != 'ARRAY' THEN 'version_unsupported' ELSE 'none' END AS error, count(*) AS n FROM first_headers GROUP BY ALL""",
+    "reference_index": _FIRST_HEADERS
+    + f""", identities AS (
+  SELECT o.*, prefix || '.' || object_name AS type_name, unnest([h ->> '$[0][1][1]', h ->> '$[0][1][2]', h ->> '$[0][1][3]']) AS uuid
+  FROM (SELECT *, CASE object_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in D.REFERENCE_TYPE_PREFIXES.items())} END AS prefix FROM first_headers WHERE json_valid(h)) o WHERE prefix IS NOT NULL
+)
+SELECT dump_id, uuid, type_name FROM identities WHERE regexp_full_match(uuid, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}')
+QUALIFY row_number() OVER (PARTITION BY dump_id, uuid ORDER BY object_type NULLS FIRST, object_name NULLS FIRST, object_id) = 1""",
+    "query_blocks": """WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL
+), numbered AS (
+  SELECT *, count(*) FILTER (regexp_matches(trim(line), '(?i)^(ВЫБРАТЬ|SELECT)([^а-яёa-z0-9_]|$)')) OVER w AS block_no, count(*) FILTER (trim(line) = '') OVER w AS gap_no FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+), opened AS (SELECT *, min(gap_no) OVER (PARTITION BY doc_id, block_no) AS first_gap FROM numbered)
+SELECT doc_id, block_no, string_agg(line, chr(10) ORDER BY line_no) AS block FROM opened WHERE block_no > 0 AND gap_no = first_gap GROUP BY doc_id, block_no""",
 }

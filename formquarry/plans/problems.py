@@ -30,6 +30,18 @@ def p1_child_counts(spark, sf):
     return per_parent.groupBy("link_kind").agg(F.sum("n").alias("links"), F.count("*").alias("parents"), F.max("n").alias("widest"))
 
 
+def p1_unread(spark, sf):
+    """The texts that give no nodes because they are no JSON, and why."""
+    elem = nested.unread_texts(read_table(spark, sf, "elem_files"), "elem_files", "elem_id", "elem")
+    return elem.unionByName(nested.unread_texts(read_table(spark, sf, "owner_objects"), "owner_objects", "object_id", "header"))
+
+
+def p2_unread(spark, sf):
+    """The payloads that are no JSON, by file and reason."""
+    records = read_table(spark, sf, "index_files").withColumn("id", F.concat_ws("/", "feed_id", "file_no", "rec_no", F.md5("payload")))
+    return nested.unread_texts(records, "index_files", "id", "payload").groupBy(F.substring_index("row_id", "/", 2).alias("file"), "reason").agg(F.count("*").alias("n"))
+
+
 def p2_found(spark, sf):
     return schema_drift.field_changes(read_table(spark, sf, "index_files"))
 
@@ -90,7 +102,7 @@ def p5_live(spark, sf):
     return incremental.live_forms(read_table(spark, sf, "freshness"), read_table(spark, sf, "unpack_runs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_raw, p1_header, p1_child_counts, p2_found, p2_union_schema, p2_full_schema, p2_entries, p2_values, p3_found, p3_monthly, p4_found, p4_report_check, p5_found, p5_ledger, p5_live)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tree, p1_raw, p1_header, p1_child_counts, p1_unread, p2_found, p2_union_schema, p2_full_schema, p2_entries, p2_values, p2_unread, p3_found, p3_monthly, p4_found, p4_report_check, p5_found, p5_ledger, p5_live)}
 
 _ORPHANS = """
 WITH children AS (
@@ -255,6 +267,11 @@ UNION ALL SELECT feed_id, file_no, field, '', 'added' FROM begins b WHERE NOT EX
 ORACLES = {
     "p2_found": _FIELD_CHANGES,
     "p2_values": _VALUES,
+    "p1_unread": """SELECT DISTINCT source, row_id, CASE WHEN coalesce(text, '') = '' THEN 'no text' ELSE 'not JSON' END AS reason
+FROM (SELECT 'elem_files' AS source, elem_id AS row_id, elem AS text FROM elem_files UNION ALL SELECT 'owner_objects', object_id, header FROM owner_objects) WHERE coalesce(text, '') = '' OR NOT json_valid(ltrim(text, chr(65279)))""",
+    "p2_unread": """SELECT file, reason, count(*) AS n FROM (
+  SELECT DISTINCT concat_ws('/', feed_id, file_no) AS file, concat_ws('/', feed_id, file_no, rec_no, md5(payload)) AS id, CASE WHEN coalesce(payload, '') = '' THEN 'no text' ELSE 'not JSON' END AS reason
+  FROM index_files WHERE coalesce(payload, '') = '' OR NOT json_valid(ltrim(payload, chr(65279)))) GROUP BY file, reason""",
     "p1_found": _NESTED + "SELECT * FROM links",
     "p1_tree": _NESTED + "SELECT * FROM tree",
     "p1_raw": _NESTED + "SELECT * FROM raw",

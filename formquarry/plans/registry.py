@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from formquarry.plans import inventory, problems
+from formquarry.plans import decoding, inventory, listings, problems
 
-_MODULES = (problems, inventory)
+_MODULES = (problems, inventory, decoding, listings)
 
 
 def queries() -> dict:

@@ -1,17 +1,23 @@
 """Scan of an unpacked dump: from a listing of its files to tables of forms.
 
 One recursive listing (path, size, time; no content) is turned into all tables by path arithmetic and
-grouping. Content is read only of the files that a table needs. Paths are relative to the root and
-have ``/``. Files whose names begin with ``_`` or ``.`` are not listed by Spark's file sources.
+grouping. A folder that is mounted is walked by the executors, subtree by subtree; other stores are
+listed by Spark's file source, which leaves out names that begin with ``_`` or ``.`` and gives files
+without content no time. Content is read only of the files that a table needs. Paths are relative to the
+root and have ``/``.
 
-A missing root gives empty tables. Folders without any file cannot be seen in a listing, so they are
-not reported as skipped.
+A missing root gives empty tables. Folders without any file are in no listing, so they are not
+reported as skipped.
 """
 
 from __future__ import annotations
 
+import os
+import stat
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -20,6 +26,7 @@ from formquarry.functions import domain as D
 from formquarry.functions.text import descent, ids_of_path
 from formquarry.operators import elements, objects
 from formquarry.operators.dedup import keep_first
+from formquarry.session import stored
 
 IDS = ["object_type", "object_name", "container_name", "form_name"]
 _MTIME = "cast(unix_micros(modificationTime) as double) / 1e6"
@@ -42,10 +49,50 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _mounted(root: str) -> str | None:
+    """The path of a root in the file system that driver and executors mount, None for any other store."""
+    path = root.removeprefix("file://").removeprefix("file:")
+    return path.rstrip("/") or "/" if path.startswith("/") and os.path.isdir(path) else None
+
+
+#: Folders are listed by tasks of their own down to this depth; below it each task walks its subtree.
+_SPREAD_DEPTH = 2
+
+
+def _walked(spark: SparkSession, root: str) -> DataFrame:
+    """(path, length, mtime) of every file of a mounted folder, listed by the executors, one subtree a row."""
+
+    def step(batches: Iterator[pd.DataFrame], deep: bool) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for folder, was_file in zip(batch["path"], batch["is_file"]):
+                found, stack = [], [] if was_file else [folder]
+                if was_file:
+                    yield batch[batch["path"] == folder]
+                    continue
+                while stack:
+                    with os.scandir(os.path.join(root, stack.pop())) as entries:
+                        for entry in entries:
+                            info = entry.stat()
+                            path = os.path.relpath(entry.path, root).replace(os.sep, "/")
+                            if stat.S_ISDIR(info.st_mode) and deep:
+                                stack.append(path)
+                            else:
+                                found.append((path, info.st_size, info.st_mtime, not stat.S_ISDIR(info.st_mode)))
+                yield pd.DataFrame(found, columns=["path", "length", "mtime", "is_file"])
+
+    schema = "path string, length bigint, mtime double, is_file boolean"
+    found = spark.createDataFrame([(".", 0, 0.0, False)], schema)
+    for depth in range(_SPREAD_DEPTH + 1):
+        last = depth == _SPREAD_DEPTH
+        found = found.mapInPandas(lambda batches, last=last: step(batches, last), schema)
+        found = found if last else found.repartition("path")  # few folders end up in few tasks
+    return found.where("is_file").select("path", "length", "mtime")
+
+
 def _empty_files(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
-    """(path, length, mtime) of files without content, which Spark's file sources list and then leave out.
+    """(path, length, mtime) of files without content in a store that is not mounted: Spark's file sources list and then leave them out.
 
-    Their paths are compared with the listing that the driver holds anyway.
+    Their paths are compared with the listing that the file source makes on the driver anyway.
     """
     base = root.rstrip("/")
     schema = "path string, length bigint, mtime double"
@@ -55,21 +102,25 @@ def _empty_files(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame
         return spark.createDataFrame([], schema)
     below = base.removeprefix("file:").rstrip("/") + "/"
     paths = [(p[p.index(below) + len(below) :],) for p in map(unquote, names) if below in p]
-    if len(paths) == listed.count():
-        return spark.createDataFrame([], schema)
-    missing = spark.createDataFrame(paths, "path string").join(listed, "path", "left_anti").collect()
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    system = place(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    rows = [(r.path, 0, system.getFileStatus(place(f"{base}/{r.path}")).getModificationTime() / 1000) for r in missing]
-    return spark.createDataFrame(rows, schema)
+    missing = spark.createDataFrame(paths, "path string").join(listed, "path", "left_anti")
+    return missing.select("path", F.lit(0).cast("bigint").alias("length"), F.lit(0.0).alias("mtime"))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, dir, name, parts, length, mtime) of every file below the root."""
-    listed = _read(spark, root, ["length", f"{_MTIME} AS mtime"])
-    every = listed.unionByName(_empty_files(spark, root, listed))
+    """(path, dir, name, parts, length, mtime) of every file below the root; stored, so that all who read it see the same files."""
+    if mounted := _mounted(root):
+        every = _walked(spark, mounted)
+    else:
+        listed = _read(spark, root, ["length", f"{_MTIME} AS mtime"])
+        every = listed.unionByName(_empty_files(spark, root, listed))
     parts = F.split("path", "/")
-    return every.select("path", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -1).alias("name"), parts.alias("parts"), "length", "mtime")
+    named = every.select("path", F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir"), F.element_at(parts, -1).alias("name"), parts.alias("parts"), "length", "mtime")
+    return stored(named, "files")
+
+
+def contents(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(path, content) of the files whose names match."""
+    return _read(spark, root, ["content"], glob)
 
 
 def texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -81,10 +132,10 @@ def _first(test: Column, column: str = "path") -> Column:
     return F.min(F.when(test, F.col(column)))
 
 
-def config_forms(files: DataFrame) -> DataFrame:
-    """Form folders of a configuration: (ids, form_path, bsl_path, json_path, elem_json_path, bsl_mtime); bsl_path NULL = skipped.
+def config_forms(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Form folders of a configuration: (by..., ids, form_path, bsl_path, json_path, elem_json_path, bsl_mtime); bsl_path NULL = skipped.
 
-    A top folder ending in ``Form`` is a container of its own (no object name); else type, object,
+    ``by``: columns that tell the dumps apart in a listing of several; so for the other functions on listings.     A top folder ending in ``Form`` is a container of its own (no object name); else type, object,
     container ending in ``Form``, form.
     """
     three = F.get("parts", F.lit(0)).endswith("Form")
@@ -95,24 +146,24 @@ def config_forms(files: DataFrame) -> DataFrame:
     inside = placed.withColumn("form_path", F.array_join(F.slice("parts", 1, depth), "/")).where(F.col("ids.container_name").endswith("Form"))
     direct = F.col("dir") == F.col("form_path")
     module = direct & (F.col("name") == F.concat("ids.container_name", F.lit(".obj.bsl")))
-    return inside.groupBy("ids", "form_path").agg(
+    return inside.groupBy(*by, "ids", "form_path").agg(
         _first(module).alias("bsl_path"),
         _first(direct & (F.col("name") == F.concat("ids.container_name", F.lit(".json")))).alias("json_path"),
         _first(direct & F.col("name").endswith(".elem.json")).alias("elem_json_path"),
         F.lit(None).cast("string").alias("form_elem_path"),
         F.max(F.when(module, F.col("mtime"))).alias("bsl_mtime"),
-    ).select("ids.*", "form_path", "bsl_path", "json_path", "elem_json_path", "form_elem_path", "bsl_mtime")
+    ).select(*by, "ids.*", "form_path", "bsl_path", "json_path", "elem_json_path", "form_elem_path", "bsl_mtime")
 
 
-def external_forms(files: DataFrame) -> DataFrame:
+def external_forms(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Form folders of external objects, below ``External`` if there is such a folder; columns as ``config_forms``.
 
     Files named after the container come before those named ``Form``, ``.obj.bsl`` before ``.obj``.
     """
-    has_base = files.agg(F.coalesce(F.bool_or(F.col("parts")[0] == "External"), F.lit(False)).alias("has_base"))
-    based = files.join(F.broadcast(has_base)).withColumn("n", F.col("has_base").cast("int")).where("NOT has_base OR parts[0] = 'External'")
+    has_base = files.groupBy(*by).agg(F.coalesce(F.bool_or(F.col("parts")[0] == "External"), F.lit(False)).alias("has_base"))
+    based = (files.join(has_base, list(by)) if by else files.join(F.broadcast(has_base))).withColumn("n", F.col("has_base").cast("int")).where("NOT has_base OR parts[0] = 'External'")
     named = based.withColumn("object_name", F.get("parts", F.col("n"))).withColumn("container_name", F.get("parts", F.col("n") + 1))
-    modules = named.where(F.size("parts") == F.col("n") + 2).groupBy("object_name").agg(
+    modules = named.where(F.size("parts") == F.col("n") + 2).groupBy(*by, "object_name").agg(
         F.bool_or(F.col("name").isin("ExternalDataProcessor.obj.bsl", "ExternalDataProcessor.obj")).alias("processor"), F.bool_or(F.col("name").isin("ExternalReport.obj.bsl", "ExternalReport.obj")).alias("report")
     )
     inside = named.where((F.size("parts") > F.col("n") + 3) & F.col("container_name").isin("Form", "ReportForm")).withColumn("form_name", F.get("parts", F.col("n") + 2)).withColumn("form_path", F.array_join(F.slice("parts", 1, F.col("n") + 3), "/"))
@@ -125,17 +176,17 @@ def external_forms(files: DataFrame) -> DataFrame:
         return F.min(F.when(direct & rank.isNotNull(), F.struct(rank.alias("r"), "path", "mtime")))
 
     own = lambda ending: F.concat("container_name", F.lit(ending))
-    grouped = inside.groupBy("object_name", "container_name", "form_name", "form_path").agg(
+    grouped = inside.groupBy(*by, "object_name", "container_name", "form_name", "form_path").agg(
         ranked(own(".obj.bsl"), own(".obj")).alias("bsl"),
         ranked(own(".json"), F.lit("Form.json")).getField("path").alias("json_path"),
         _first(direct & F.col("name").endswith(".elem.json")).alias("elem_json_path"),
         ranked(own(".elem"), F.lit("Form.elem")).getField("path").alias("form_elem_path"),
     )
     kind = F.when(F.col("container_name") == "ReportForm", "ExternalReport").when(F.col("processor"), "ExternalDataProcessor").when(F.col("report"), "ExternalReport").otherwise("ExternalDataProcessor")
-    return grouped.join(modules, "object_name", "left").select(kind.alias("object_type"), "object_name", "container_name", "form_name", "form_path", F.col("bsl.path").alias("bsl_path"), "json_path", "elem_json_path", "form_elem_path", F.col("bsl.mtime").alias("bsl_mtime"))
+    return grouped.join(modules, [*by, "object_name"], "left").select(*by, kind.alias("object_type"), "object_name", "container_name", "form_name", "form_path", F.col("bsl.path").alias("bsl_path"), "json_path", "elem_json_path", "form_elem_path", F.col("bsl.mtime").alias("bsl_mtime"))
 
 
-def elem_forms(files: DataFrame) -> DataFrame:
+def elem_forms(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Folders with an element file below a container: its artifacts and the sets of files of other versions."""
     size = F.size("parts")
     held = files.where((size >= 3) & F.get("parts", size - 3).endswith("Form"))
@@ -144,26 +195,34 @@ def elem_forms(files: DataFrame) -> DataFrame:
     is_elem, is_id = F.col("name").endswith(".elem.json"), F.col("name").endswith(".id.json")
     plain_json = F.col("name").endswith(".json") & ~is_elem & ~is_id
     rows = held.withColumn("version", version)
-    pair = rows.where("version IS NOT NULL").groupBy("dir", "version").agg(_first(plain_json).alias("aux_json_path"), _first(module).alias("bsl_path"))
-    sets = pair.groupBy("dir").agg(F.array_sort(F.collect_list(F.struct(F.col("version").alias("descent"), "aux_json_path", "bsl_path"))).alias("descent_artifacts"))
-    forms = rows.groupBy("dir").agg(
+    pair = rows.where("version IS NOT NULL").groupBy(*by, "dir", "version").agg(_first(plain_json).alias("aux_json_path"), _first(module).alias("bsl_path"))
+    sets = pair.groupBy(*by, "dir").agg(F.array_sort(F.collect_list(F.struct(F.col("version").alias("descent"), "aux_json_path", "bsl_path"))).alias("descent_artifacts"))
+    forms = rows.groupBy(*by, "dir").agg(
         _first(is_elem).alias("elem_json_path"),
         F.count_if(is_elem).alias("elem_files"),
         _first(plain_json & F.col("version").isNull()).alias("meta_json_path"),
         _first(is_id).alias("id_json_path"),
         _first(module & F.col("version").isNull()).alias("plain_bsl"),
     ).where("elem_json_path IS NOT NULL")
-    joined = forms.join(sets, "dir", "left").withColumn("descent_artifacts", F.coalesce("descent_artifacts", F.expr("cast(array() as array<struct<descent:string,aux_json_path:string,bsl_path:string>>)")))
+    joined = forms.join(sets, [*by, "dir"], "left").withColumn("descent_artifacts", F.coalesce("descent_artifacts", F.expr("cast(array() as array<struct<descent:string,aux_json_path:string,bsl_path:string>>)")))
     said = F.array_compact(F.array(F.when(F.col("elem_files") > 1, "multiple *.elem.json"), F.when(F.size("descent_artifacts") > 1, "multiple descent sets; all are kept")))
     versioned = F.expr("get(filter(descent_artifacts, d -> d.bsl_path IS NOT NULL), 0).bsl_path")
-    return joined.select(F.col("dir").alias("form_path"), "elem_json_path", "meta_json_path", "id_json_path", F.coalesce("plain_bsl", versioned).alias("bsl_path"), "descent_artifacts", said.alias("extra_warnings"))
+    return joined.select(*by, F.col("dir").alias("form_path"), "elem_json_path", "meta_json_path", "id_json_path", F.coalesce("plain_bsl", versioned).alias("bsl_path"), "descent_artifacts", said.alias("extra_warnings"))
 
 
-def form_bins(files: DataFrame) -> DataFrame:
+def form_bins(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(form_name, bin_path, bin_mtime) of ``Form.bin`` files; the name follows the last ``Forms``; the last path of a name counts."""
     after = F.expr("array_position(reverse(parts), 'Forms')").cast("int")
-    named = files.where("name = 'Form.bin'").withColumn("at", after).where("at > 1").select(F.expr("parts[size(parts) - at + 1]").alias("form_name"), F.col("path").alias("bin_path"), F.col("mtime").alias("bin_mtime"))
-    return named.groupBy("form_name").agg(F.max(F.struct("bin_path", "bin_mtime")).alias("b")).select("form_name", "b.*")
+    named = files.where("name = 'Form.bin'").withColumn("at", after).where("at > 1").select(*by, F.expr("parts[size(parts) - at + 1]").alias("form_name"), F.col("path").alias("bin_path"), F.col("mtime").alias("bin_mtime"))
+    return named.groupBy(*by, "form_name").agg(F.max(F.struct("bin_path", "bin_mtime")).alias("b")).select(*by, "form_name", "b.*")
+
+
+def elem_only_forms(files: DataFrame, coded: DataFrame, external: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Forms that have an element file and are not among ``coded`` (by..., form_path): columns as ``config_forms`` and warnings."""
+    only = elem_forms(files, by).join(coded.select(*by, "form_path").distinct(), [*by, "form_path"], "left_anti")
+    none = F.lit(None).cast("string")
+    named = only.select(*by, ids_of_path(F.col("form_path"), external).alias("i"), "form_path", "elem_json_path").select(*by, "i.*", "form_path", "elem_json_path")
+    return named.select(*by, *IDS, "form_path", none.alias("bsl_path"), none.alias("json_path"), "elem_json_path", none.alias("form_elem_path"), F.lit(0.0).alias("bsl_mtime"), F.array(F.lit("elem-only: no .obj.bsl found")).alias("warnings"))
 
 
 def scan_forms(spark: SparkSession, root: str, mode: str = "config", include_elem_only: bool = True, structure: bool = True) -> DataFrame:
@@ -177,10 +236,7 @@ def scan_forms(spark: SparkSession, root: str, mode: str = "config", include_ele
     coded = all_forms.where("bsl_path IS NOT NULL").withColumn("warnings", F.array_compact(F.array(F.when(F.col("json_path").isNull(), F.concat(F.lit("missing "), "container_name", F.lit(".json"))))))
     forms = coded
     if include_elem_only:
-        only = elem_forms(files).join(coded.select("form_path"), "form_path", "left_anti")
-        ids = ids_of_path(F.col("form_path"), mode == "external")
-        none = F.lit(None).cast("string")
-        forms = coded.unionByName(only.select(ids.alias("i"), "form_path", "elem_json_path").select("i.*", "form_path", none.alias("bsl_path"), none.alias("json_path"), "elem_json_path", none.alias("form_elem_path"), F.lit(0.0).alias("bsl_mtime"), F.array(F.lit("elem-only: no .obj.bsl found")).alias("warnings")))
+        forms = coded.unionByName(elem_only_forms(files, coded, mode == "external"))
     code = _read(spark, root, ["sha2(content, 256) AS bsl_sha256"], "*.obj*").select(F.col("path").alias("bsl_path"), F.col("bsl_sha256"))
     empty = F.when(F.col("bsl_path").isNotNull(), F.sha2(F.lit(""), 256))
     found = forms.join(code, "bsl_path", "left").withColumn("bsl_sha256", F.coalesce("bsl_sha256", empty))
@@ -199,11 +255,25 @@ def scan_warnings(spark: SparkSession, root: str, mode: str = "config") -> DataF
     return forms.where("bsl_path IS NULL").orderBy("form_path").select(F.concat(F.lit("skipped (no .obj.bsl): "), "form_path").alias("warning"))
 
 
-def owner_files(files: DataFrame) -> DataFrame:
-    """(object_type, object_name, path) of the metadata files of objects: ``<object>/<object>.json``, else ``<object>/<type>.json``, else the first."""
-    direct = files.where((F.size("parts") == 3) & F.col("name").endswith(".json")).select(F.col("parts")[0].alias("object_type"), F.col("parts")[1].alias("object_name"), "name", "path")
+def item_modules(files: DataFrame, forms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., form_path, ord, path): the modules below ``Items`` of each form, in order of their paths."""
+    below = F.transform(F.filter(F.sequence(F.lit(1), F.size("parts") - 2), lambda n: F.get("parts", n) == "Items"), lambda n: F.array_join(F.slice("parts", 1, n), "/"))
+    inside = files.where("name LIKE '%.bsl' AND size(parts) > 2").select(*by, "path", F.explode(below).alias("form_path"))
+    listed = inside.join(forms.select(*by, "form_path").distinct(), [*by, "form_path"], "left_semi")
+    return listed.groupBy(*by, "form_path").agg(F.array_sort(F.collect_list("path")).alias("paths")).select(*by, "form_path", F.posexplode("paths").alias("ord", "path"))
+
+
+def module_paths(files: DataFrame, forms: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., form_path, ord, path): the form's own module, if it has one, and then those of its items."""
+    own = forms.where("bsl_path IS NOT NULL").select(*by, "form_path", F.lit(0).alias("ord"), F.col("bsl_path").alias("path"))
+    return own.unionByName(item_modules(files, forms, by).withColumn("ord", F.col("ord") + 1))
+
+
+def owner_files(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., object_type, object_name, path) of the metadata files of objects: ``<object>/<object>.json``, else ``<object>/<type>.json``, else the first."""
+    direct = files.where((F.size("parts") == 3) & F.col("name").endswith(".json")).select(*by, F.col("parts")[0].alias("object_type"), F.col("parts")[1].alias("object_name"), "name", "path")
     rank = F.when(F.col("name") == F.concat("object_name", F.lit(".json")), 0).when(F.col("name") == F.concat("object_type", F.lit(".json")), 1).otherwise(2)
-    return keep_first(direct.withColumn("rank", rank), ["object_type", "object_name"], ["rank", "name"]).select("object_type", "object_name", "path")
+    return keep_first(direct.withColumn("rank", rank), [*by, "object_type", "object_name"], ["rank", "name"]).select(*by, "object_type", "object_name", "path")
 
 
 def owner_objects(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:

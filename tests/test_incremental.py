@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from formquarry.operators.incremental import due_forms, form_runs
-from formquarry.operators.ledger import LeaseTaken, StaleToken, WorkLedger
+from formquarry.operators.ledger import LeaseTaken, LedgerError, StaleToken, WorkLedger
 
 T0 = datetime(2025, 3, 1)
 
@@ -57,6 +57,7 @@ def test_nulls_and_empty_tables(spark):
 def test_states_and_attempts(spark):
     ledger = form_runs(feed(spark, (1, "a", 1.0, 2.0, "h", at(11))), runs(spark, *RUNS))
     assert sorted((r.run_no, r.token, r.attempt, r.state) for r in ledger.collect()) == [(2, 2, 1, "expired"), (3, 3, 2, "done")]
+    assert {r.commit_no for r in ledger.collect()} == {2}  # both attempts are at the second commit
 
 
 def versions(spark, **items):
@@ -70,10 +71,11 @@ def test_live_ledger(spark, tmp_path):
     token = ledger.lease(10)
     with pytest.raises(LeaseTaken):
         ledger.lease(10)
-    path = ledger.output_path()
+    path = ledger.output_path(token)
+    assert ledger.output_path(token) == path
     now[0] = 11.0
     second = ledger.lease(10)
-    assert second == token + 1 and ledger.output_path() == path and ledger.pending(first).count() == 2
+    assert second == token + 1 and ledger.output_path(second) != path and ledger.pending(first).count() == 2
     with pytest.raises(StaleToken):
         ledger.commit(token, first)
     assert ledger.commit(second, first) == 1
@@ -81,9 +83,65 @@ def test_live_ledger(spark, tmp_path):
         ledger.commit(second, first)
     third = ledger.lease(10)
     later = versions(spark, a="2", b="1", c="1")
-    assert {r.item for r in ledger.pending(later).collect()} == {"a", "c"} and ledger.output_path() != path
+    assert {r.item for r in ledger.pending(later).collect()} == {"a", "c"}
     ledger.give_up(third)
     fourth = ledger.lease(10)
     with pytest.raises(StaleToken):
         ledger.commit(third, later)
     assert ledger.commit(fourth, later) == 2 and ledger.pending(later).count() == 0
+
+
+def test_a_late_writer_is_never_read(spark, tmp_path):
+    now = [0.0]
+    ledger = WorkLedger(spark, str(tmp_path / "l"), clock=lambda: now[0])
+    late, items = ledger.lease(10), versions(spark, a="1")
+    now[0] = 11.0
+    winner = ledger.lease(10)
+    items.write.parquet(ledger.output_path(winner))
+    assert ledger.commit(winner, items) == 1
+    versions(spark, wrong="9").write.mode("overwrite").parquet(ledger.output_path(late))
+    with pytest.raises(StaleToken):
+        ledger.commit(late, versions(spark, wrong="9"))
+    assert [tuple(r) for r in spark.read.parquet(*ledger.outputs()).collect()] == [("a", "1")] and ledger.pending(items).count() == 0
+
+
+def test_torn_records(spark, tmp_path):
+    ledger = WorkLedger(spark, str(tmp_path / "l"), clock=lambda: 0.0)
+    (tmp_path / "l/leases/000000000001").write_bytes(b"")
+    (tmp_path / "l/leases/000000000002").write_bytes(b'{"until": 9')
+    token = ledger.lease(10)
+    assert token == 3 and ledger.commit(token, versions(spark, a="1")) == 1
+    assert not list((tmp_path / "l/aside").iterdir())
+    (tmp_path / "l/commits/000000000002").write_bytes(b"{")
+    with pytest.raises(LedgerError):
+        ledger.lease(10)
+
+
+def test_lease_that_ends_during_the_write(spark, tmp_path):
+    times = iter([0.0, 1.0, 99.0])  # lease, before the state is written, after
+    ledger = WorkLedger(spark, str(tmp_path / "l"), clock=lambda: next(times))
+    token = ledger.lease(10)
+    with pytest.raises(StaleToken):
+        ledger.commit(token, versions(spark, a="1"))
+    assert ledger.outputs() == [] and next(times, None) is None
+
+
+def test_two_commits_on_one_base(spark, tmp_path):
+    ledger = WorkLedger(spark, str(tmp_path / "l"), clock=lambda: 0.0)
+    token = ledger.lease(10)
+    assert ledger._publish("commits", 1, {"token": 99, "state": "s", "output": "o"}) and not ledger._publish("commits", 1, {"token": 1})
+    with pytest.raises(StaleToken):
+        ledger.commit(token, versions(spark, a="1"))
+
+
+def test_live_runs_as_replayed(spark, sf):
+    from formquarry.operators.incremental import live_forms
+
+    feed_, history = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("freshness", "unpack_runs"))
+    assert sorted(map(tuple, live_forms(feed_, history).collect())) == sorted(map(tuple, due_forms(form_runs(feed_, history)).collect()))
+
+
+def test_runs_out_of_order(spark):
+    history = [(1, at(30), "succeeded"), (2, at(10), "succeeded"), (3, at(40), "succeeded")]
+    rows = [(1, "a", 1.0, 2.0, "h", at(20)), (2, "a", 9.0, 10.0, "k", at(35)), (3, "b", 1.0, 2.0, "h", at(5))]
+    assert due(spark, rows, history) == [(1, "a"), (1, "b"), (3, "a")]

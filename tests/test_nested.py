@@ -6,7 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from formquarry.operators.nested import nested_links
+from formquarry.operators.nested import nested_links, unread_texts
 
 U = "12345678-1234-1234-1234-1234567890ab"
 V = "22345678-1234-1234-1234-1234567890AB"
@@ -98,3 +98,11 @@ def test_whole_table(spark, sf):
 
     rows = {tuple(r) for r in p1_found(spark, sf).collect()}
     assert rows == brute.links(pd.read_parquet(f"{sf}/elem_files.parquet"), pd.read_parquet(f"{sf}/owner_objects.parquet"))
+
+
+def test_unread_texts(spark):
+    deep, shallow = "[" * 1200 + "]" * 1200, "[" * 999 + "]" * 999
+    texts = [None, "", "{", "[1] 2", deep, shallow, '{"a":1}', "\ufeff[]", '["' + "[" * 2000 + '"]', '["' + "[" * 2000]
+    rows = spark.createDataFrame([*enumerate(texts), (0, None)], "i long, t string")
+    found = {tuple(r) for r in unread_texts(rows, "s", "i", "t").collect()}
+    assert found == {("s", 0, "no text"), ("s", 1, "no text"), ("s", 2, "not JSON"), ("s", 3, "not JSON"), ("s", 4, "nested too deep"), ("s", 9, "not JSON")}
