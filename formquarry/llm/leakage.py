@@ -37,17 +37,17 @@ def word_lists(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), joined_words(text_col).alias("w")).where("w != ''").select("id", F.split("w", " ").alias("w"))
 
 
-def grams(lists: DataFrame, least: int, gram: int) -> DataFrame:
-    """``positions`` of word lists."""
+def grams(lists: DataFrame, least: int, gram: int, *more: str) -> DataFrame:
+    """``positions`` of word lists, with further columns of theirs."""
     split = lists.where(F.size("w") >= max(least, gram))
     words = F.expr(f"slice(w, 1, size(w) - {gram - 1})")
     rest = [F.get("w", F.col("pos") + i) for i in range(1, gram)]
-    return split.select("id", "w", F.posexplode(words).alias("pos", "word")).select("id", "pos", F.xxhash64("word", *rest).alias("term"))
+    return split.select("id", "w", F.posexplode(words).alias("pos", "word")).select("id", "pos", F.xxhash64("word", *rest).alias("term"), *more)
 
 
 def build_index(docs: DataFrame, items: DataFrame, least: int, gram: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored postings (term, doc_id, pos) of the documents' terms that items have too."""
-    vocabulary = bounded(items.select("term").distinct(), BROADCAST_WORDS)
+    vocabulary = bounded(stored(items.select("term").distinct(), "vocabulary"), BROADCAST_WORDS)
     postings = positions(docs, doc_id, text, least, gram).join(vocabulary, "term", "left_semi")
     return stored(postings.select("term", F.col("id").alias("doc_id"), "pos"), "postings")
 
@@ -63,7 +63,7 @@ def rarest_seeds(items: DataFrame, index: DataFrame, least: int) -> DataFrame:
 
 def alignments(index: DataFrame, seeds: DataFrame) -> DataFrame:
     """(doc_id, item_id, ipos, shift): where the index has a seed term."""
-    hits = index.join(bounded(seeds, BROADCAST_WORDS), "term")
+    hits = index.join(bounded(stored(seeds, "seeds"), BROADCAST_WORDS), "term")
     return hits.select("doc_id", "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift")).distinct()
 
 
@@ -105,15 +105,24 @@ def proximity_matches(docs: DataFrame, test_items: DataFrame, window: int = 12,
     """
     if window < gram * (edits + 1):
         raise ValueError("so many edits leave no run of words in the window")
-    texts = stored(word_lists(docs, "doc_id", "text"), "texts")  # normalised once, read twice
-    lists = stored(word_lists(test_items, "item_id", "text"), "items").where(F.size("w") >= gram)
-    places = bounded(grams(lists, gram, gram).select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "term"), BROADCAST_WORDS)
-    hits = grams(texts, gram, gram).join(places, "term").select(F.col("id").alias("doc_id"), "item_id", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"))
+    lists = stored(word_lists(test_items, "item_id", "text").where(F.size("w") >= gram), "items")
+    places = stored(grams(lists, gram, gram).select(F.col("id").alias("item_id"), F.col("pos").alias("ipos"), "term"), "places")
     items = bounded(lists.select(F.col("id").alias("item_id"), F.col("w").alias("iw")), BROADCAST_WORDS // 1_000)
-    both = hits.join(texts.select(F.col("id").alias("doc_id"), F.col("w").alias("dw")), "doc_id").join(items, "item_id")
+    reach = window - gram + edits
+    # The document's words as far as a window around the run reaches, so that no text moves; ``left``: how many stand before the run.
+    near = [F.slice("w", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.lit(2 * reach + gram)).alias("dw"), F.least(F.col("pos"), F.lit(reach)).alias("left")]
+    held = bounded(places, BROADCAST_WORDS)
+    runs = grams(word_lists(docs, "doc_id", "text"), gram, gram, "w").withColumnRenamed("id", "doc_id")
+    # A broadcast meets the words where they are; a shuffle takes with each run only what is near it.
+    hits = runs.select("doc_id", "term", *near).join(held, "term") if held is places else runs.join(held, "term").select("doc_id", "item_id", "ipos", *near)
+    # A window that holds a run of equal words but neither its first nor its last gram is inside it, and so is the one that begins
+    # with the run: the grams at both ends are enough.
+    ends = f"NOT coalesce(get(dw, left - 1) = get(iw, ipos - 1), false) OR NOT coalesce(get(dw, left + {gram}) = get(iw, ipos + {gram}), false)"
+    both = hits.join(items, "item_id").where(ends)
     sized = both.withColumn("size", F.least(F.size("iw"), F.lit(window))).withColumn("need", F.expr(f"size - least({edits}, int((size - {gram}) div {gram}))"))
-    near = f"slice(dw, greatest(j + shift - {edits}, 0) + 1, greatest(j + shift + {edits} + 1 - greatest(j + shift - {edits}, 0), 0))"
-    kept = f"filter(sequence(greatest(ipos - size + {gram}, 0), least(ipos + size, size(iw)) - 1), j -> array_contains({near}, iw[j]))"
+    at = "(left + j - ipos)"
+    there = f"{at} - {edits} < size(dw) AND exists(sequence(greatest({at} - {edits}, 0), greatest(least({at} + {edits}, size(dw) - 1), 0)), p -> dw[p] = iw[j])"
+    kept = f"filter(sequence(greatest(ipos - size + {gram}, 0), least(ipos + size, size(iw)) - 1), j -> {at} + {edits} >= 0 AND {there})"
     most = "array_max(transform(filter(kept, j -> j <= ipos), j -> size(filter(kept, k -> k >= j AND k < j + size))))"
     around = sized.selectExpr("doc_id", "item_id", "ipos", "size", "need", f"{kept} AS kept").where("size(kept) >= need")
     return around.selectExpr("doc_id", "item_id", "need", f"cast({most} AS bigint) AS terms").where("terms >= need").groupBy("doc_id", "item_id").agg(F.max("terms").alias("terms"))

@@ -22,7 +22,8 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -59,12 +60,13 @@ def split_pattern(path: str) -> str:
 
 
 def token_count(column: str, path: str) -> Column:
-    """Number of tokens of a text by a rank file; NULL counts 0."""
-    pattern = split_pattern(path)
+    """Number of tokens of a text by a rank file, which is sent to the executors; NULL counts 0."""
+    pattern, name = split_pattern(path), os.path.basename(path)
+    SparkSession.active().sparkContext.addFile(path)
 
     @F.pandas_udf("long")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = _counter(path, pattern)
+        tokens = _counter(SparkFiles.get(name), pattern)
         for batch in texts:
             yield pd.Series([tokens(t) if t else 0 for t in batch], dtype="int64")
 

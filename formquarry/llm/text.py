@@ -13,13 +13,34 @@ from pyspark.sql import functions as F
 _WORD = re.compile(r"[^\W_]+")
 _HIDDEN = re.compile("[" + "".join(re.escape(chr(c)) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf") + "]")
 
+#: Most texts fit into one byte a letter; there a table does what the expressions above do: lower-case letters
+#: and digits stay, format characters go, all else is a gap.
+_NARROW = "cp1251"
+
+
+def _table() -> tuple[bytes, bytes]:
+    """(what each byte becomes, the bytes to drop)."""
+    table, dropped = bytearray(b" " * 256), bytearray()
+    for code in range(256):
+        letter = bytes([code]).decode(_NARROW, "ignore").lower()
+        if letter and _HIDDEN.fullmatch(letter):
+            dropped.append(code)
+        elif letter and _WORD.fullmatch(letter):
+            (table[code],) = letter.encode(_NARROW)
+    return bytes(table), bytes(dropped)
+
+
+_TABLE, _DROPPED = _table()
+
 
 def words(text: str) -> list[str]:
     """Maximal runs of letters and digits after NFKC, lower-casing and dropping format characters."""
-    plain = unicodedata.normalize("NFKC", text).lower()
-    if not plain.isascii():
-        plain = _HIDDEN.sub("", plain)
-    return _WORD.findall(plain)
+    plain = unicodedata.normalize("NFKC", text)
+    try:
+        narrow = plain.encode(_NARROW)
+    except UnicodeEncodeError:
+        return _WORD.findall(_HIDDEN.sub("", plain.lower()))
+    return narrow.translate(_TABLE, _DROPPED).decode(_NARROW).split()
 
 
 def joined_words(column: str) -> Column:

@@ -28,6 +28,16 @@ def test_words(text):
     assert texts.words(text) == words(text)
 
 
+def test_words_of_narrow_and_wide_texts(spark):
+    rng = random.Random(8)
+    plain = [chr(c) for c in range(128)] + list("АБЯабяЁёйЙ«»–—")
+    odd = list("™ЎўҐґЇїѕ\u00a0ﬁ²ÀßİІіґ№…\u0301\u00ad\u200b٣ⅷ")
+    rows = ["".join(rng.choices(plain + (odd if i % 3 == 0 else []), k=rng.randint(0, 60))) for i in range(600)] + [None, "", "Ё_Ж-1"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "i int, text string")
+    found = {r.i: r.w for r in frame.select("i", texts.joined_words("text").alias("w")).collect()}
+    assert found == {i: None if t is None else " ".join(words(t)) for i, t in enumerate(rows)}
+
+
 def test_leaks_exactly(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(30)]
