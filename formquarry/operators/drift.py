@@ -1,6 +1,6 @@
 """Drift of a dump against a saved baseline.
 
-One full outer join by form key decides every kind of change. Added and removed look at forms with
+Both sides are united and grouped by form key once; that decides every kind of change. Added and removed look at forms with
 a code module; structure changes also at forms that only have an element file. Keys are made of the
 four ids and paths are compared relative to the dump's root, so a baseline survives a move.
 
@@ -15,28 +15,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formquarry.functions.keys import composite_key
-from formquarry.operators.dedup import keep_last
 
 #: Times of one file may differ by so many seconds.
 TOLERANCE_S = 1.0
+_READ = ("object_type", "object_name", "container_name", "form_name", "bsl_path", "bsl_mtime", "bsl_sha256", "elem_sha256")
 KINDS = ("added", "removed", "modified", "structure_modified", "stale_extractions")
 
 
-def _side(forms: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    key = composite_key("object_type", "object_name", "container_name", "form_name")
-    rows = forms.select(*by, key.alias("form_key"), (F.coalesce("bsl_path", F.lit("")) != "").alias("code"), "bsl_mtime", "bsl_sha256", "elem_sha256", F.coalesce("bsl_path", F.lit("")).alias("path"))
-    one = keep_last(rows, [*by, "form_key"], ["path"])
-    return one.select(*by, "form_key", *[F.col(c).alias(f"{prefix}_{c}") for c in ("code", "bsl_mtime", "bsl_sha256", "elem_sha256")])
-
-
 def drift(baseline: DataFrame, current: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., form_key, kind) with a kind of KINDS but the last, which ``stale`` finds."""
+    columns = [*(by or []), *_READ]
+    return drift_of_sides(baseline.select(*columns, F.lit(False).alias("is_new")).unionByName(current.select(*columns, F.lit(True).alias("is_new"))), by)
+
+
+def drift_of_sides(sides: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """As ``drift``, from one table of both sides told apart by ``is_new``."""
     by = by or []
-    both = _side(baseline, by, "b").join(_side(current, by, "c"), [*by, "form_key"], "full_outer")
-    code_b, code_c = (F.coalesce(f"{s}_code", F.lit(False)) for s in ("b", "c"))
-    moved = F.abs(F.col("c_bsl_mtime") - F.col("b_bsl_mtime")) > TOLERANCE_S
-    modified = code_b & code_c & F.coalesce(F.when(F.col("b_bsl_sha256").isNotNull(), ~F.col("c_bsl_sha256").eqNullSafe(F.col("b_bsl_sha256"))).otherwise(moved), F.lit(False))
-    structure = F.coalesce(F.col("c_elem_sha256") != F.col("b_elem_sha256"), F.lit(False))
+    key = composite_key("object_type", "object_name", "container_name", "form_name")
+    path = F.coalesce("bsl_path", F.lit(""))
+    row = F.struct(path.alias("path"), (path != "").alias("code"), "bsl_mtime", "bsl_sha256", "elem_sha256")
+    rows = sides.select(*by, key.alias("form_key"), F.when(F.col("is_new"), row).alias("c"), F.when(~F.col("is_new"), row).alias("b"))
+    both = rows.groupBy(*by, "form_key").agg(F.max("b").alias("b"), F.max("c").alias("c"))
+    code_b, code_c = (F.coalesce(f"{s}.code", F.lit(False)) for s in ("b", "c"))
+    moved = F.abs(F.col("c.bsl_mtime") - F.col("b.bsl_mtime")) > TOLERANCE_S
+    modified = code_b & code_c & F.coalesce(F.when(F.col("b.bsl_sha256").isNotNull(), ~F.col("c.bsl_sha256").eqNullSafe(F.col("b.bsl_sha256"))).otherwise(moved), F.lit(False))
+    structure = F.coalesce(F.col("c.elem_sha256") != F.col("b.elem_sha256"), F.lit(False))
     tests = {"added": code_c & ~code_b, "removed": code_b & ~code_c, "modified": modified, "structure_modified": structure}
     kinds = F.array_compact(F.array(*[F.when(test, kind) for kind, test in tests.items()]))
     return both.select(*by, "form_key", F.explode(kinds).alias("kind"))

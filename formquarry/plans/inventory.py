@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from formquarry.functions import domain as D
@@ -10,49 +9,59 @@ from formquarry.functions.json import is_uuid
 from formquarry.functions.keys import composite_key
 from formquarry.functions.text import cut_text, descent, ids_of_path, path_segments, relative_to, safe_path_ref, unquote_lenient, unquote_strict, without_root
 from formquarry.operators import bindings, classify, coverage, dedup, drift, elements, freshness, objects, reports, routing, summary
-from formquarry.session import read_table, stored
+from formquarry.operators.snapshots import BROADCAST_STEPS, snapshot_steps
+from formquarry.session import bounded, read_table, stored
 
 _IDS = ["object_type", "object_name", "container_name", "form_name"]
 
 
-def _edge_snapshots(spark, sf):
-    """The forms of the first and of the last snapshot of each dump."""
-    scans = read_table(spark, sf, "form_scans").where("dump_id IS NOT NULL AND snapshot_no IS NOT NULL")
-    edge = scans.groupBy("dump_id").agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi"))
-    both = scans.join(edge, "dump_id")
-    latest = lambda df: dedup.keep_last(df.drop("lo", "hi"), ["dump_id", *_IDS], ["loaded_at", "bsl_sha256", "elem_sha256", "bsl_path", "bsl_mtime"])
-    return latest(both.where("snapshot_no = lo")), latest(both.where("snapshot_no = hi"))
+def _scans(spark, sf):
+    """What the queries on snapshots read of form_scans."""
+    rows = read_table(spark, sf, "form_scans").where("dump_id IS NOT NULL AND snapshot_no IS NOT NULL")
+    return rows.select("dump_id", "snapshot_no", *_IDS, "loaded_at", "bsl_sha256", "elem_sha256", "bsl_path", "bsl_mtime")
 
 
-def _snapshot_steps(spark, sf):
-    """Two tables with the forms of all snapshots, as the old side of the next existing one and as the new side of their own; step_no is the later number."""
-    scans = read_table(spark, sf, "form_scans").where("dump_id IS NOT NULL AND snapshot_no IS NOT NULL")
-    order = W.partitionBy("dump_id").orderBy("snapshot_no")
-    steps = scans.select("dump_id", "snapshot_no").distinct().select("dump_id", "snapshot_no", F.lead("snapshot_no").over(order).alias("next_no"), F.lag("snapshot_no").over(order).alias("prev_no"))
-    forms = dedup.keep_last(scans, ["dump_id", "snapshot_no", *_IDS], ["loaded_at", "bsl_sha256", "elem_sha256", "bsl_path", "bsl_mtime"]).join(steps, ["dump_id", "snapshot_no"])
-    return forms.where("next_no IS NOT NULL").withColumn("step_no", F.col("next_no")), forms.where("prev_no IS NOT NULL").withColumn("step_no", F.col("snapshot_no"))
+def _latest(scans):
+    """Of several rows of a form in a snapshot the one that counts."""
+    return dedup.keep_last(scans, ["dump_id", "snapshot_no", *_IDS], ["loaded_at", "bsl_sha256", "elem_sha256", "bsl_path", "bsl_mtime"])
+
+
+def _edge_sides(spark, sf):
+    """The forms of the first (``is_new`` false) and of the last snapshot (true) of each dump; a dump's only snapshot is both."""
+    scans = _scans(spark, sf)
+    edge = bounded(stored(scans.groupBy("dump_id").agg(F.min("snapshot_no").alias("lo"), F.max("snapshot_no").alias("hi")), "edges"), BROADCAST_STEPS)
+    sides = F.explode(F.array_compact(F.array(F.when(F.col("snapshot_no") == F.col("lo"), False), F.when(F.col("snapshot_no") == F.col("hi"), True))))
+    return _latest(scans.join(edge, "dump_id").where("snapshot_no IN (lo, hi)")).select("*", sides.alias("is_new")).drop("lo", "hi")
+
+
+def _step_sides(spark, sf):
+    """The forms of all snapshots, as the old side of the next existing one and as the new side of their own; step_no is the later number."""
+    scans = _scans(spark, sf)
+    steps = bounded(snapshot_steps(scans, "dump_id", "snapshot_no"), BROADCAST_STEPS).withColumnsRenamed({"part": "dump_id", "snap": "snapshot_no"})
+    sides = F.expr("inline(filter(array(named_struct('step_no', next, 'is_new', false), named_struct('step_no', if(first, NULL, snapshot_no), 'is_new', true)), s -> s.step_no IS NOT NULL))")
+    return _latest(scans).join(steps, ["dump_id", "snapshot_no"]).select("dump_id", "snapshot_no", *_IDS, "bsl_path", "bsl_mtime", "bsl_sha256", "elem_sha256", sides)
 
 
 def drift_steps(spark, sf):
     """Drift from each snapshot of a dump to the next existing one."""
-    return drift.drift(*_snapshot_steps(spark, sf), ["dump_id", "step_no"])
+    return drift.drift_of_sides(_step_sides(spark, sf), ["dump_id", "step_no"])
 
 
 def drift_step_lists(spark, sf):
     """The report of every step, also of those without drift."""
-    return drift.drift_report(drift_steps(spark, sf), ["dump_id", "step_no"], _snapshot_steps(spark, sf)[1]).drop("checked_at").select("dump_id", "step_no", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
+    steps = snapshot_steps(_scans(spark, sf), "dump_id", "snapshot_no").where("NOT first").select(F.col("part").alias("dump_id"), F.col("snap").alias("step_no"))
+    return drift.drift_report(drift_steps(spark, sf), ["dump_id", "step_no"], steps).drop("checked_at").select("dump_id", "step_no", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
 
 
 def stale_steps(spark, sf):
     """Forms of each snapshot whose code file the next one of the dump no longer has."""
-    old, new = _snapshot_steps(spark, sf)
-    return drift.stale(old, new.select("dump_id", "step_no", F.col("bsl_path").alias("path")).where("path IS NOT NULL"), ["dump_id", "step_no"])
+    sides = stored(_step_sides(spark, sf).select("dump_id", "step_no", *_IDS, "bsl_path", "is_new"), "sides")
+    return drift.stale(sides.where("NOT is_new"), sides.where("is_new AND bsl_path IS NOT NULL").select("dump_id", "step_no", F.col("bsl_path").alias("path")), ["dump_id", "step_no"])
 
 
 def upsert_all(spark, sf):
     """All snapshots of each dump put over each other in their order: the latest row of every form that ever was in one."""
-    scans = read_table(spark, sf, "form_scans").where("dump_id IS NOT NULL AND snapshot_no IS NOT NULL")
-    rows = dedup.keep_last(scans, ["dump_id", *_IDS], ["snapshot_no", "loaded_at", "bsl_sha256", "elem_sha256", "bsl_path", "bsl_mtime"])
+    rows = dedup.keep_last(_scans(spark, sf), ["dump_id", *_IDS], ["snapshot_no", "loaded_at", "bsl_sha256", "elem_sha256", "bsl_path", "bsl_mtime"])
     return rows.select("dump_id", composite_key(*_IDS).alias("form_key"), "snapshot_no")
 
 
@@ -61,18 +70,17 @@ def form_key(spark, sf):
 
 
 def drift_diff(spark, sf):
-    return drift.drift(*_edge_snapshots(spark, sf), ["dump_id"])
+    return drift.drift_of_sides(_edge_sides(spark, sf), ["dump_id"])
 
 
 def drift_lists(spark, sf):
-    dumps = read_table(spark, sf, "form_scans").where("dump_id IS NOT NULL AND snapshot_no IS NOT NULL").select("dump_id")
-    return drift.drift_report(drift_diff(spark, sf), ["dump_id"], dumps).drop("checked_at").select("dump_id", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
+    return drift.drift_report(drift_diff(spark, sf), ["dump_id"], _scans(spark, sf).select("dump_id")).drop("checked_at").select("dump_id", "has_drift", *[F.array_join(k, "|").alias(k) for k in drift.KINDS])
 
 
 def stale_paths(spark, sf):
     """Forms of the first snapshots whose code file the last ones no longer have."""
-    first, last = _edge_snapshots(spark, sf)
-    return drift.stale(first, last.select(F.col("bsl_path").alias("path")).where("path IS NOT NULL"))
+    sides = stored(_edge_sides(spark, sf), "sides")
+    return drift.stale(sides.where("NOT is_new"), sides.where("is_new AND bsl_path IS NOT NULL").select(F.col("bsl_path").alias("path")))
 
 
 def content_hash(spark, sf):
@@ -101,8 +109,8 @@ def route_type(spark, sf):
 
 def upsert_reindex(spark, sf):
     """The first snapshot of each dump with the rows of the last one put over it."""
-    first, last = _edge_snapshots(spark, sf)
-    return routing.upsert(first, last, ["dump_id", *_IDS]).select("dump_id", composite_key(*_IDS).alias("form_key"), "snapshot_no")
+    sides = stored(_edge_sides(spark, sf), "sides")
+    return routing.upsert(sides.where("NOT is_new"), sides.where("is_new"), ["dump_id", *_IDS]).select("dump_id", composite_key(*_IDS).alias("form_key"), "snapshot_no")
 
 
 def ref_lookup(spark, sf):
