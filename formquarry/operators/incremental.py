@@ -46,14 +46,14 @@ def visible_versions(feed: DataFrame, starts: list, key: str, delivered: str, ve
     slot = F.size(F.filter(at, lambda s: s < F.col(delivered).cast("timestamp_ntz")))
     rows = feed.where(F.col(key).isNotNull() & F.col(delivered).isNotNull()).select(F.col(key).alias("item"), slot.alias("slot"), version.alias("version")).where(F.col("slot") < len(starts))
     slots = rows.groupBy("item", "slot").agg(F.max("version").alias("version"))
-    return slots.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("slot", "version"))).alias("seen"))
+    return slots.groupBy("item").agg(F.collect_list(F.struct("slot", "version")).alias("seen"))
 
 
 def replay(feed: DataFrame, runs: DataFrame, key: str, delivered: str, version: Column, changed: str) -> DataFrame:
     """(item, run_no, token, commit_no, attempt, state in done/expired): the ledger's leases and what became of them.
 
     ``version`` is a struct that sorts by age; ``changed`` is SQL over structs ``cur`` and ``was``. The fold carries
-    the greatest version seen so far, so each run looks only at what came since the run before.
+    the greatest version seen so far, so its steps are as many as runs and versions.
     """
     history = run_history(runs)
     starts = sorted({h[1] for h in history})
@@ -67,20 +67,22 @@ def replay(feed: DataFrame, runs: DataFrame, key: str, delivered: str, version:
         steps.append(f"named_struct('run_no', {number}, 'token', {token}, 'commit_no', {commit}, 'slot', {starts.index(start)}, 'ok', {str(ok).lower()})")
         commit += ok
     out = "array<struct<run_no:int,token:int,commit_no:int,attempt:int,state:string>>"
-    init = f"named_struct('cur', cast(NULL as {kind}), 'next', 0, 'was', cast(NULL as {kind}), 'attempt', 0, 'out', cast(array() as {out}))"
-    # Runs are in order of their number, which need not be that of their starts; then the next slot lies behind and all are looked at again.
-    behind = "(a.next > 0 AND get(seen, a.next - 1).slot > r.slot)"
-    fresh = f"filter(slice(seen, if({behind}, 0, a.next) + 1, size(seen)), v -> v.slot <= r.slot)"
-    newest = f"array_max(concat(if({behind}, array(), array(a.cur)), transform(f, v -> v.version)))"
-    at = f"if({behind}, 0, a.next) + size(f)"
-    pending = f"(c.cur IS NOT NULL AND (a.was IS NULL OR coalesce({changed.replace('was.', 'a.was.').replace('cur.', 'c.cur.')}, false)))"
+    init = f"named_struct('cur', cast(NULL as {kind}), 'was', cast(NULL as {kind}), 'attempt', 0, 'out', cast(array() as {out}))"
+    pending = f"(cur IS NOT NULL AND (a.was IS NULL OR coalesce({changed.replace('was.', 'a.was.')}, false)))"
     lease = "array(named_struct('run_no', r.run_no, 'token', r.token, 'commit_no', r.commit_no, 'attempt', a.attempt + 1, 'state', if(r.ok, 'done', 'expired')))"
-    after = (
-        f"named_struct('cur', c.cur, 'next', c.next, 'was', if(r.ok, c.cur, a.was), 'attempt', if({pending} AND NOT r.ok, a.attempt + 1, 0),"
-        f" 'out', if({pending}, concat(a.out, {lease}), a.out))"
-    )
-    current = f"transform(array({fresh}), f -> named_struct('cur', {newest}, 'next', {at}))"
-    fold = f"aggregate(array({','.join(steps)}), {init}, (a, r) -> transform({current}, c -> {after})[0], a -> a.out)"
+    run = f"named_struct('cur', cur, 'was', if(r.ok, cur, a.was), 'attempt', if(p AND NOT r.ok, a.attempt + 1, 0), 'out', if(p, concat(a.out, {lease}), a.out))"
+    judged = f"transform(array({pending}), p -> {run})[0]"
+    runs_at = f"array({','.join(steps)})"
+    if [h[1] for h in history] == sorted(h[1] for h in history):
+        # Versions and runs in one order of time, so every step sees one of them and the greatest version so far.
+        events = f"array_sort(concat(transform(seen, v -> named_struct('slot', v.slot, 'run', 0, 'version', v.version)), transform({runs_at}, r -> named_struct('slot', r.slot, 'run', r.token, 'version', cast(NULL as {kind})))))"
+        seen_one = "named_struct('cur', if(a.cur IS NULL OR e.version > a.cur, e.version, a.cur), 'was', a.was, 'attempt', a.attempt, 'out', a.out)"
+        made = f"transform(array(get({runs_at}, e.run - 1)), r -> transform(array(a.cur), cur -> {judged})[0])[0]"
+        fold = f"aggregate({events}, {init}, (a, e) -> if(e.run = 0, {seen_one}, {made}), a -> a.out)"
+    else:
+        # Runs that started in another order than their numbers each look at all that they could see.
+        current = "array_max(transform(filter(seen, v -> v.slot <= r.slot), v -> v.version))"
+        fold = f"aggregate({runs_at}, {init}, (a, r) -> transform(array({current}), cur -> {judged})[0], a -> a.out)"
     return seen.selectExpr("item", f"inline({fold})")
 
 

@@ -150,6 +150,29 @@ def ordinary_paths(spark, sf):
     return elements.form_elements(parsed, ["binding_id"]).select("binding_id", "name", "data_path")
 
 
+def _named(spark, sf):
+    """(owner, name, id): the distinct attribute names of each owner with the least id of each."""
+    return _attributes(spark, sf).groupBy(*_OWNER, "name").agg(F.min("attr_id").alias("id"))
+
+
+def merged_elements(spark, sf):
+    """Elements that several sections name, under different keys: one row each, of the better section, with the type that the tree says last."""
+    listed = lambda test, sql: f"array_join(transform(filter(array_sort(collect_list(struct(id, name))), s -> {test}), s -> {sql}), ',')"
+    name = _text("s.name")
+    tree = f"""concat('{{"Имя":', {name}, ',"Тип":"Field"}},{{"name":', {name}, ',"kind":"Table"}}')"""
+    sections = {"tree": listed("true", tree), "props": listed("true", f"""concat('{{"caption":', {name}, '}}')"""), "data": listed("s.id % 2 = 0", f"""concat({name}, ':{{"id":1}}')""")}
+    forms = _named(spark, sf).groupBy(*_OWNER).agg(F.expr(f"""concat('{{"tree":[', {sections['tree']}, '],"props":[', {sections['props']}, '],"data":{{', {sections['data']}, '}}}}')""").alias("elem"))
+    rows = elements.form_elements(elements.parse_forms(forms, "elem"), _OWNER)
+    return rows.select(*_OWNER, "name", "type", "source", F.array_join("merged_sources", "|").alias("merged_sources"))
+
+
+def tree_hashes(spark, sf):
+    """Structure hashes of element files: ids, colours and the like play no part."""
+    node = f"""concat('{{"id":', id, ',"color":"red","name":', {_text('name')}, ',"type":"Field"}}')"""
+    forms = _named(spark, sf).groupBy(*_OWNER).agg(F.expr(f"""concat('{{"tree":[', {_ordered('id, name', node)}, ']}}')""").alias("elem"))
+    return elements.parse_forms(forms, "elem").select(*_OWNER, "parsed.elem_sha256")
+
+
 def procedures(spark, sf):
     """Procedures that module texts declare."""
     return elements.procedures_of(read_table(spark, sf, "documents"), ["doc_id"], "text")
@@ -243,7 +266,7 @@ def container_warnings(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        legacy_columns, widget_elements, unindexed_cases, chain_bindings, chain_reasons, managed_paths, ordinary_paths, procedures, module_handlers, module_columns,
+        legacy_columns, widget_elements, unindexed_cases, chain_bindings, chain_reasons, managed_paths, ordinary_paths, merged_elements, tree_hashes, procedures, module_handlers, module_columns,
         header_entries, legacy_header_entries, container_queries, container_warnings,
     )
 }
@@ -294,6 +317,12 @@ pairs AS (SELECT f.*, n.name, lead(n.name) OVER (PARTITION BY f.dump_id, f.objec
 SELECT dump_id, object_type, object_name, 'e' || attr_id AS name, NULL::VARCHAR AS parent, 'Объект.' || name AS data_path FROM pairs
 UNION ALL SELECT dump_id, object_type, object_name, 'x' || attr_id, 'p', CASE WHEN name = other THEN 'Объект.' || name END FROM pairs WHERE more = 1""",
     "ordinary_paths": _PATHS + " SELECT binding_id, parts[2] AS name, CASE WHEN parts[1] = parts[2] THEN parts[1] ELSE parts[1] || '.' || parts[2] END AS data_path FROM named WHERE len(parts) = 2",
+    "merged_elements": _ATTRIBUTES
+    + """ SELECT dump_id, object_type, object_name, name, CASE WHEN min(attr_id) % 2 = 0 THEN 'Table' ELSE 'Unknown' END AS type, CASE WHEN min(attr_id) % 2 = 0 THEN 'data' ELSE 'props' END AS source,
+  CASE WHEN min(attr_id) % 2 = 0 THEN 'data|props' END AS merged_sources FROM attrs GROUP BY dump_id, object_type, object_name, name""",
+    "tree_hashes": _ATTRIBUTES
+    + """ SELECT dump_id, object_type, object_name, sha256('[' || string_agg('{"name": ' || to_json(name)::VARCHAR || ', "page": null, "parent": null, "parent_path": null, "path": null, "source": "tree", "type": "Field"}', ', ' ORDER BY id, name) || ']') AS elem_sha256
+FROM (SELECT dump_id, object_type, object_name, name, min(attr_id) AS id FROM attrs GROUP BY ALL) GROUP BY dump_id, object_type, object_name""",
     "procedures": _PROCEDURES + " SELECT DISTINCT doc_id, procedure FROM found",
     "module_handlers": _PROCEDURES
     + f""", p AS (SELECT doc_id, list(DISTINCT procedure) AS all_of FROM found GROUP BY doc_id),

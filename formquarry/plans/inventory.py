@@ -161,6 +161,25 @@ def binding_parents(spark, sf):
     return elements.missing_parents(_as_elements(spark, sf), ["dump_id", "form_key"])
 
 
+def context_parts(spark, sf):
+    """What the context of every bound form says: title, code (absent, empty or there), how many relations are resolved and how many types are not."""
+    owner, form = ["dump_id", "object_type", "object_name"], ["dump_id", "form_key"]
+    rows = _as_elements(spark, sf).withColumn("type", F.lit("Field"))
+    parts = F.split("form_key", "/")
+    keyed = rows.select(*form).distinct().select(*form, *[F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(_IDS)])
+    none = lambda kind: F.lit(None).cast(kind)
+    module = F.expr("CASE length(form_key) % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('Процедура ', form_name, '()') END")
+    forms = keyed.select("*", module.alias("module"), F.array().cast("array<string>").alias("warnings"), F.col("form_key").alias("form_path"), none("string").alias("elem_json_path"), none("string").alias("bsl_sha256"), none("string").alias("elem_sha256"), none("double").alias("bsl_mtime"))
+    types = dedup.keep_last(read_table(spark, sf, "reference_types").where("type_name IS NOT NULL").withColumn("uuid", F.lower("uuid")), ["dump_id", "uuid"], ["registered_at", "type_name"])
+    known = read_table(spark, sf, "object_attributes").select(*owner, F.lit(0).alias("section_ord"), F.col("attr_id").alias("attr_ord"), F.col("attr_name").alias("name"), "synonym", F.col("value_type").alias("type"), "uuid", "section_name").distinct()
+    attributes = objects.resolve_types(known, types.select("dump_id", "uuid", "type_name"), ["dump_id"])
+    paths = rows.where("coalesce(data_path, '') != ''").join(keyed, form).select(*form, "object_type", "object_name", "data_path").distinct()
+    lists = summary.summaries(summary.summary_rows(rows, form), form)
+    made = summary.form_contexts(forms, lists, attributes, bindings.resolve_paths(paths, attributes, owner), form, owner)
+    code = F.expr(f"substring(context, locate('\n{summary.CODE_MARKER}\n', context) + {len(summary.CODE_MARKER) + 2})")
+    return made.select(*form, F.substring_index("context", "\n", 1).alias("title"), code.alias("code"), F.regexp_count("context", F.lit('"resolved":true')).cast("bigint").alias("resolved"), F.regexp_count("context", F.lit('"type":"Ref#')).cast("bigint").alias("open_types"))
+
+
 def binding_coverage(spark, sf):
     return coverage.coverage(_bound(spark, sf), ["dump_id", "form_key"])
 
@@ -340,7 +359,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         form_key, drift_diff, drift_lists, stale_paths, drift_steps, drift_step_lists, stale_steps, upsert_all, content_hash, stale_entries, current_freshness, route_exact, route_object, route_type, upsert_reindex, ref_lookup, resolve_bindings,
-        unique_probe, binding_summary, binding_parents, binding_coverage, form_classes, name_classes, widget_classes, reason_of_form, reason_counts, path_refs, path_ids, relative_paths, first_wins, last_wins, priority_merge,
+        unique_probe, binding_summary, binding_parents, context_parts, binding_coverage, form_classes, name_classes, widget_classes, reason_of_form, reason_counts, path_refs, path_ids, relative_paths, first_wins, last_wins, priority_merge,
         uuid_check, quoted_literals, json_aliases, version_suffixes, text_fragments, element_parse, structure_hashes, element_warnings, zero_bindings, unindexed_reason,
         missing_parents, element_coverage, summary_buckets, form_contexts, header_decode, header_errors, reference_index, query_blocks, query_datasets,
     )
@@ -435,6 +454,23 @@ FROM m JOIN a USING (dump_id, object_type, object_name, uuid) GROUP BY m.dump_id
     "binding_coverage": f"""WITH {_BOUND} SELECT dump_id, form_key, form_name, count(*) AS total_elements, count(*) FILTER (type IN ('Field', 'CheckBox')) AS data_elements,
   count(*) FILTER (type IN ('Field', 'CheckBox') AND coalesce(data_path, '') != '') AS bound_data_elements,
   coalesce(count(*) FILTER (type IN ('Field', 'CheckBox') AND coalesce(data_path, '') != '') / nullif(count(*) FILTER (type IN ('Field', 'CheckBox')), 0)::DOUBLE, 0.0) * 100.0 AS coverage_pct, {_CLASS} AS form_class FROM bound GROUP BY dump_id, form_key, form_name""",
+    "context_parts": f"""WITH forms AS (
+  SELECT DISTINCT dump_id, form_key, coalesce(p[1], '') AS object_type, coalesce(p[2], '') AS object_name, coalesce(p[3], '') AS container_name, coalesce(p[4], '') AS form_name
+  FROM (SELECT dump_id, form_key, string_split(form_key, '/') AS p FROM bindings WHERE form_key IS NOT NULL AND binding_id IS NOT NULL)
+), types AS (SELECT dump_id, lower(uuid) AS uuid, type_name FROM reference_types WHERE type_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dump_id, lower(uuid) ORDER BY registered_at DESC NULLS LAST, type_name DESC) = 1),
+known AS (SELECT DISTINCT dump_id, object_type, object_name, attr_id, attr_name, synonym, value_type, uuid, section_name FROM object_attributes),
+open_types AS (
+  SELECT k.dump_id, object_type, object_name, count(*) FILTER (value_type LIKE 'Ref#%' AND coalesce(type_name, '') = '') AS n FROM known k LEFT JOIN types t ON t.dump_id = k.dump_id AND t.uuid = lower(substr(value_type, 5)) AND value_type LIKE 'Ref#%' GROUP BY ALL
+), names AS (SELECT DISTINCT dump_id, object_type, object_name, lower(trim(coalesce(section_name, ''))) AS s, lower(trim(attr_name)) AS a FROM known WHERE attr_name IS NOT NULL),
+paths AS (SELECT DISTINCT f.*, data_path, string_split(data_path, '.') AS p FROM bindings b JOIN forms f ON f.dump_id IS NOT DISTINCT FROM b.dump_id AND f.form_key = b.form_key WHERE coalesce(data_path, '') != ''),
+found AS (
+  SELECT p.dump_id, form_key, count(*) AS n FROM paths p JOIN names n ON n.dump_id = p.dump_id AND n.object_type = p.object_type AND n.object_name = p.object_name
+    AND len(p.p) IN (2, 3) AND n.s = CASE WHEN len(p.p) = 3 THEN lower(trim(p.p[2])) ELSE '' END AND n.a = lower(trim(p.p[-1])) GROUP BY ALL
+)
+SELECT f.dump_id, f.form_key, '# FORM ' || concat_ws('/', nullif(f.object_type, ''), nullif(f.object_name, ''), nullif(container_name, ''), nullif(form_name, '')) AS title,
+  CASE len(f.form_key) % 3 WHEN 0 THEN '{summary.NO_CODE}' WHEN 1 THEN '' ELSE 'Процедура ' || form_name || '()' END AS code,
+  CASE WHEN o.dump_id IS NULL THEN 0 ELSE coalesce(found.n, 0) END AS resolved, coalesce(o.n, 0) AS open_types
+FROM forms f LEFT JOIN open_types o ON o.dump_id = f.dump_id AND o.object_type = f.object_type AND o.object_name = f.object_name LEFT JOIN found ON found.dump_id = f.dump_id AND found.form_key = f.form_key""",
     "binding_parents": _ELEMENTS + "SELECT dump_id, form_key, name, parent FROM e WHERE coalesce(parent, '') != '' AND NOT EXISTS (SELECT 1 FROM e k WHERE k.dump_id IS NOT DISTINCT FROM e.dump_id AND k.form_key = e.form_key AND k.name = e.parent)",
     "binding_summary": _ELEMENTS
     + """, items AS (
