@@ -134,13 +134,6 @@ def test_two_commits_on_one_base(spark, tmp_path):
         ledger.commit(token, versions(spark, a="1"))
 
 
-def test_live_runs_as_replayed(spark, sf):
-    from formquarry.operators.incremental import live_forms
-
-    feed_, history = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("freshness", "unpack_runs"))
-    assert sorted(map(tuple, live_forms(feed_, history).collect())) == sorted(map(tuple, due_forms(form_runs(feed_, history)).collect()))
-
-
 def test_runs_out_of_order(spark):
     history = [(1, at(30), "succeeded"), (2, at(10), "succeeded"), (3, at(40), "succeeded")]
     rows = [(1, "a", 1.0, 2.0, "h", at(20)), (2, "a", 9.0, 10.0, "k", at(35)), (3, "b", 1.0, 2.0, "h", at(5))]
