@@ -3,9 +3,8 @@
 A work item is a record key with a version. It is *pending* when the current version is new or
 differs from the one seen by the last successful run, *leased* to a run under a fencing token, and
 *done* once that run succeeds; the lease of a run that fails, aborts or never reports expires and
-the item is pending again. Every run takes one lease: its token is the lease's number, its output path
-belongs to the commit it would make, so every attempt at the same commit has the same one. ``replay``
-folds these transitions over a history of runs, each key on its own, in one pass; ``live_runs`` drives
+the item is pending again. Every run takes one lease, whose number is its token, towards the next commit.
+``replay`` folds these transitions over a history of runs, each key on its own, in one pass; ``live_runs`` drives
 ``formquarry.operators.ledger`` through the same history, run by run, as live runs do.
 
 Defined results: rows without key or delivery time are left out; NULL change times sort lowest;
